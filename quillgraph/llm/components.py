@@ -1,0 +1,29 @@
+"""Connected components of a graph too large for one machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph.runtime import materialise
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``id, component`` (the smallest id reachable) for each end of the edges ``a, b``; isolated ids aren't in it.
+
+    Each round every node takes the smallest label among its neighbours and then its label's label, so the
+    number of rounds grows with the logarithm of the longest path. Labels are pre-aggregated before they are
+    shuffled, and nothing is collected but the number of changes. No edges give an empty table; loops and
+    repeated edges change nothing.
+    """
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "cc-labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        taken = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("label"))
+        taken = materialise(taken, "cc-taken")
+        root = taken.select(F.col("id").alias("label"), F.col("label").alias("component"))
+        moved = materialise(taken.join(root, "label").select("id", "before", "component"), "cc-round")
+        labels = moved.select("id", "component")
+        if moved.where("before <> component").isEmpty():
+            return labels

@@ -7,8 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.line_dedup import line_dedup
+from quillgraph.llm.mixing import mix
+from quillgraph.llm.near_dedup import near_duplicates
+from quillgraph.llm.url_filter import RULES, SOFT_TERMS, STRICT_TERMS, judge_urls
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component under 3-word shingles and a similarity of at least 0.85."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near_duplicates(docs, n=3, num=85, den=100)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL with the rule that fits and the verdict."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +43,54 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside windows of benchmark items."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate(docs, items).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op7_mixing": op7_mixing,
+    "op9_decontamination": op9_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _any_term(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)" for t in terms)
+
+
+_ALNUM_WORDS = "regexp_extract_all(" + _LOWER.format(x="coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+WITH u AS (
+  SELECT page_id, {_LOWER.format(x="coalesce(url, '')")} AS low, {_LOWER.format(x="coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in RULES)}
+), s AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rhost, substr(rule, strpos(rule, '/')) AS rpath FROM r
+), f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(s.verdict, length(rule)) AS verdict
+  FROM u JOIN s ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT u.page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN {_any_term(STRICT_TERMS)} > 0 OR {_any_term(SOFT_TERMS)} >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f USING (page_id)""",
+    "op9_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark),
+bw AS (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS win FROM bw),
+dw AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n),
+h AS (SELECT doc_id, p, n, item_id FROM (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS win FROM dw) x JOIN iw USING (n, win)),
+q AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN i USING (doc_id)""",
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER.format(x="coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
