@@ -12,9 +12,24 @@ from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.line_dedup import line_dedup
 from quillgraph.llm.mixing import mix
 from quillgraph.llm.near_dedup import near_duplicates
+from quillgraph.llm.quality import fit_quality, quality_scores
+from quillgraph.llm.toxicity import fit_toxicity, toxicity_scores
 from quillgraph.llm.url_filter import RULES, SOFT_TERMS, STRICT_TERMS, judge_urls
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    texts = docs.select("doc_id", "text")
+    return quality_scores(texts, fit_quality(texts, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity_scores(docs, fit_toxicity(docs, labels))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component under 3-word shingles and a similarity of at least 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -50,6 +65,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_toxicity": op2_toxicity,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
