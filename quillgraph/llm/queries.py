@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.line_dedup import line_dedup
+from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import mix
 from quillgraph.llm.near_dedup import near_duplicates
 from quillgraph.llm.quality import fit_quality, quality_scores
@@ -36,6 +37,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, n=3, num=85, den=100)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its stupid-backoff score under bigrams of all other documents; the mean has four decimals, as far as sums in any order agree."""
+    scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL with the rule that fits and the verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
@@ -85,6 +93,25 @@ def _any_term(terms: tuple[str, ...]) -> str:
 _ALNUM_WORDS = "regexp_extract_all(" + _LOWER.format(x="coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_lm_scoring": f"""
+WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, ws FROM d),
+g AS (SELECT doc_id, p, ws[p] AS w, CASE WHEN p > 1 THEN ws[p - 1] END AS h FROM t),
+o1 AS (SELECT doc_id, w, count(*) AS n FROM g GROUP BY ALL), c1 AS (SELECT w, sum(n) AS n FROM o1 GROUP BY ALL),
+o2 AS (SELECT doc_id, h, w, count(*) AS n FROM g WHERE h IS NOT NULL GROUP BY ALL), c2 AS (SELECT h, w, sum(n) AS n FROM o2 GROUP BY ALL),
+r1 AS (SELECT doc_id, w, c1.n - o1.n AS n FROM o1 JOIN c1 USING (w)),
+r2 AS (SELECT doc_id, h, w, c2.n - o2.n AS n FROM o2 JOIN c2 USING (h, w)),
+k AS (SELECT count(*) AS total FROM g),
+s AS (
+  SELECT g.doc_id, CASE
+    WHEN g.h IS NULL THEN greatest(a.n, 1) / greatest(total - len(d.ws), 1)
+    WHEN b.n > 0 AND hh.n > 0 THEN b.n / hh.n
+    ELSE 0.4 * greatest(a.n, 1) / greatest(total - len(d.ws), 1) END AS score
+  FROM g CROSS JOIN k JOIN d ON d.doc_id = g.doc_id JOIN r1 a ON a.doc_id = g.doc_id AND a.w = g.w
+  LEFT JOIN r1 hh ON hh.doc_id = g.doc_id AND hh.w = g.h LEFT JOIN r2 b ON b.doc_id = g.doc_id AND b.h = g.h AND b.w = g.w
+)
+SELECT d.doc_id, len(d.ws) AS n_tokens, round(x.m, 4) AS mean_log_score
+FROM d LEFT JOIN (SELECT doc_id, avg(ln(score)) AS m FROM s GROUP BY doc_id) x USING (doc_id)""",
     "op5_url_filter": f"""
 WITH u AS (
   SELECT page_id, {_LOWER.format(x="coalesce(url, '')")} AS low, {_LOWER.format(x="coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
