@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.html_extract import extract_main_text
 from quillgraph.llm.line_dedup import line_dedup
 from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import mix
@@ -49,6 +50,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_url_filter": op5_url_filter,
+    "op6_html_extraction": op6_html_extraction,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
