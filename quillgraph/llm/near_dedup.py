@@ -7,7 +7,7 @@
    meets the bucket's smallest id alone. Links are confirmed and folded into components; then only members
    of *different* components of a bucket meet, in pairs where the bucket is small and in blocks compared
    bit by bit where it is large, so that no link between different texts is lost.
-4. A candidate's similarity is estimated from bit counts, corrected for chance collisions; what lies six
+4. A candidate's similarity is estimated from bit counts, corrected for chance collisions; what lies five
    standard deviations under the threshold goes. The rest is confirmed on the full shingle sets.
 """
 
@@ -103,17 +103,18 @@ def estimated(x: Column, y: Column, bits: int, words: int, hashes: int) -> Colum
     return ((1 - differ / F.lit(float(hashes))) - chance) / (1 - chance)
 
 
+def _floor(threshold: float, sketcher: Sketcher) -> float:
+    """The least estimate that a link may have: five standard deviations, widened by chance collisions, under the threshold."""
+    return threshold - 5.4 * math.sqrt(threshold * (1 - threshold) / (sketcher.bands * sketcher.rows))
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int, sketcher: Sketcher) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
-    hashes = sketcher.bands * sketcher.rows
-    least = num / den - 6.5 * math.sqrt(num / den * (1 - num / den) / hashes)
+    hashes, least = sketcher.bands * sketcher.rows, _floor(num / den, sketcher)
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (estimated(F.col("sa"), F.col("sb"), sketcher.bits, sketcher.words, hashes) >= least)).select("a", "b")
     near = materialise(near, "near-pairs")
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    wanted = materialise(texts.join(nodes.select("id", "th").join(wanted, "id"), ["id", "th"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -131,38 +132,60 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num:
                     found.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(c).type) for i, c in enumerate("ab")], names=["a", "b"])
 
-    text = lambda c: wanted.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     return near.join(text("a"), "a").join(text("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _in_blocks(members: DataFrame, nodes: DataFrame, num: int, den: int, sketcher: Sketcher) -> DataFrame:
+def _in_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int, sketcher: Sketcher) -> DataFrame:
     """Candidates among different components of large buckets, none lost: a bucket's members are dealt to blocks of
-    about BLOCK; those outside its largest component visit every block as queries, in bounded groups."""
+    about BLOCK; those outside its largest component visit every block as queries, in bounded groups.
+
+    A pair is compared in the first band that it shares. What the estimate can't rule out is counted on the sets
+    with shingles cut to 32 bits, which can only raise a similarity, so that pairs just under the threshold, of
+    which a group of copies may hold a square number, are never written out.
+    """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("size"))
     main = main.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("parts"))
-    rows = members.join(materialise(main, "block-buckets"), "key").join(nodes.select("id", "n", "sig"), "id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort((shingle_set(t.as_py(), n) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int32()))], names=["id", "cut"])
+
+    met = materialise(members.select("id").distinct(), "block-ids")
+    sets = texts.join(met, "id").mapInArrow(cut, "id bigint, cut array<int>").join(nodes.select("id", "n", "sig", "bands"), "id")
+    rows = members.join(materialise(main, "block-buckets"), "key").join(materialise(sets, "block-sets"), "id")
     to = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     at = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
-    home = rows.select("key", at("blocks").alias("block"), to("parts").alias("part"), "id", "component", "n", "sig", F.lit(False).alias("query"))
-    query = rows.where("component <> main").select("key", to("blocks").alias("block"), at("parts").alias("part"), "id", "component", "n", "sig", F.lit(True).alias("query"))
+    whole = ("id", "component", "n", "sig", "bands", "cut")
+    home = rows.select("key", at("blocks").alias("block"), to("parts").alias("part"), *whole, F.lit(False).alias("query"))
+    query = rows.where("component <> main").select("key", to("blocks").alias("block"), at("parts").alias("part"), *whole, F.lit(True).alias("query"))
     bits, words, hashes = sketcher.bits, sketcher.words, sketcher.bands * sketcher.rows
-    least = num / den - 6.5 * math.sqrt(num / den * (1 - num / den) / hashes)
+    least = _floor(num / den, sketcher)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         q, h = pdf[pdf["query"]], pdf[~pdf["query"]]
-        out: list[pd.DataFrame] = []
+        out: list[pd.DataFrame] = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
         if len(q) and len(h):
-            sig = np.stack(h["sig"].to_numpy()).view(np.uint64)
+            sig, bands = np.stack(h["sig"].to_numpy()).view(np.uint64), np.stack(h["bands"].to_numpy())
+            ids, component, sizes, cuts = (h[c].to_numpy() for c in ("id", "component", "n", "cut"))
             for row in q.itertuples(index=False):
-                lanes = np.bitwise_or.reduce((sig ^ np.asarray(row.sig).view(np.uint64)).reshape(len(h), bits, words), axis=1)
+                fits = (component != row.component) & (den * np.minimum(sizes, row.n) >= num * np.maximum(sizes, row.n))
+                fits &= (bands == row.bands).argmax(1) == int(np.flatnonzero(row.bands == row.key)[0])
+                near = np.flatnonzero(fits)
+                lanes = np.bitwise_or.reduce((sig[near] ^ np.asarray(row.sig).view(np.uint64)).reshape(len(near), bits, words), axis=1)
                 share = 1 - np.bitwise_count(lanes).sum(1) / hashes
-                fits = ((share - 2.0**-bits) / (1 - 2.0**-bits) >= least) & (h["component"].to_numpy() != row.component)
-                fits &= den * np.minimum(h["n"].to_numpy(), row.n) >= num * np.maximum(h["n"].to_numpy(), row.n)
-                other = h["id"].to_numpy()[fits]
-                if len(other):
+                near = near[(share - 2.0**-bits) / (1 - 2.0**-bits) >= least]
+                if len(near):
+                    own, flat = row.cut.view(np.uint32), np.concatenate(cuts[near]).view(np.uint32)
+                    place = np.searchsorted(own, flat)
+                    place[place == len(own)] = 0
+                    starts = np.concatenate([[0], np.cumsum([len(c) for c in cuts[near]])[:-1]])
+                    shared = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+                    other = ids[near[(den + num) * shared >= num * (sizes[near] + row.n)]]
                     out.append(pd.DataFrame({"a": np.minimum(other, row.id), "b": np.maximum(other, row.id)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        return pd.concat(out)
 
     return home.unionByName(query).groupBy("key", "block", "part").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -189,6 +212,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     rows_ = nodes.select("id", F.explode("bands").alias("key"))
     buckets = materialise(rows_.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select("key", "pivot"), "buckets")
     members = materialise(rows_.join(buckets, "key"), "members")
+    several = materialise(members.select("id").distinct(), "several")
+    wanted = texts.join(nodes.select("id", "th").join(several, "id"), ["id", "th"]).select("id", "text").dropDuplicates(["id"])
+    texts = materialise(wanted, "near-texts")
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(_confirm(stars, nodes, texts, n, num, den, sketcher), "links")
     found = connected_components(links)
@@ -202,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     left, right = (small.select("key", F.col("id").alias(c), "pivot", F.col("component").alias(f"c{c}")) for c in "ab")
     pairs = left.join(right.drop("pivot"), "key").where("a < b AND ca <> cb AND a <> pivot").select("a", "b").distinct()
     large = now.join(mixed.where(F.col("size") > SMALL_BUCKET), "key").drop("pivot", "size")
-    pairs = pairs.unionByName(_in_blocks(large, nodes, num, den, sketcher)).distinct()
+    pairs = pairs.unionByName(_in_blocks(large, nodes, texts, n, num, den, sketcher)).distinct()
     more = _confirm(pairs, nodes, texts, n, num, den, sketcher)
     more = materialise(more, "links-between")
     if not more.isEmpty():
