@@ -96,7 +96,7 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     hits = _rows(docs, id_col, text_col, key_chars, True).join(several, "key").select("key", "id", "at", "sha", "body", (F.col("at") == F.col("best_at")).alias("best"))
     hits = materialise(hits, "dedup-hits")
     stays = hits.where("best").select("key", F.col("body").alias("stays_body"))
-    clashes = materialise(hits.where("not best").join(stays, "key").where("body <> stays_body").select("key").distinct(), "dedup-clashes")
+    clashes = materialise(hits.where("not best").join(stays, "key").where("body <> stays_body").select("key"), "dedup-clashes")
 
     rows = _rows(docs, id_col, text_col, key_chars, False)
     out = rows.join(state, "key", "left").select(
