@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quillgraph.plans import registry, retrieval, structure  # noqa: F401  (they register)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return QUERIES
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name of query."""
-    return ORACLE
+    return registry.ORACLE
