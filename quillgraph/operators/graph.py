@@ -54,10 +54,12 @@ def bridge_claims(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: in
     within its seed's claims, of the terms that it covers; ties go by confidence, then id.
     """
     ends = claims.where(F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)) >= min_confidence).select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("seed"))
-    pool = ends.join(seeds.select("seed").distinct(), "seed").withColumn("n", F.count("*").over(Window.partitionBy("seed")))
+    pool = ends.join(seeds.select("seed").distinct(), "seed")
+    size = pool.groupBy("seed").agg(F.count("*").alias("n"))
     text = F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit("")))
-    covered = pool.select("seed", "id", "n", F.explode(F.array_distinct(C.word_tokens(text))).alias("term")).join(terms, ["seed", "term"])
-    covered = covered.withColumn("df", F.count("*").over(Window.partitionBy("seed", "term")))
+    covered = pool.select("seed", "id", F.explode(F.array_distinct(C.word_tokens(text))).alias("term")).join(terms, ["seed", "term"])
+    # a hub's claims are counted in parts, and cut to the cap in each task before they meet
+    covered = covered.join(covered.groupBy("seed", "term").agg(F.count("*").alias("df")).join(size, "seed"), ["seed", "term"])
     scores = covered.groupBy("seed", "id").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
     ranked = pool.join(scores, ["seed", "id"], "left").select("seed", "id", "s", "p", "o_id", "o_literal", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)).alias("confidence"))
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("coverage").desc(), F.col("confidence").desc(), "id"))

@@ -49,8 +49,9 @@ def bm25(corpus: DataFrame, text: Column, queries: DataFrame, query_text: Column
     tokens = corpus.select("id", C.search_tokens(text).alias("t")).where(F.size("t") > 0).select("id", "t", F.size("t").alias("dl"))
     size = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     post = tokens.select("id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    post = post.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    hits = asked.join(post, "term").join(F.broadcast(size))  # one row
+    # counted with partial sums in each task: a term of a third of all texts is one row for each task, not one group
+    frequency = post.groupBy("term").agg(F.count("*").alias("df"))
+    hits = post.join(asked.join(frequency, "term"), "term").join(F.broadcast(size))  # one row
     length = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = hits.groupBy("query_id", "id").agg(F.sum(idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + length)).alias("score"))
@@ -78,8 +79,8 @@ def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact:
     asks = queries.select("query_id", C.content_terms(query_text).alias("qt"), F.array_join(C.word_tokens(query_text), " ").alias("qp"))
     tokens = C.word_tokens(F.col("title"))
     named = corpus.select("id", tokens.alias("tt"), C.content_terms(F.col("title")).alias("terms"), C.quality_weight(F.col("p"), F.col("title")).alias("w")).where(F.size("terms") >= 2)
-    rare = named.select("id", F.explode("terms").alias("term")).withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    rare = rare.groupBy("id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    terms = named.select("id", F.explode("terms").alias("term"))
+    rare = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     met = named.join(rare, "id").join(asks.select("query_id", "qt", "qp", F.explode("qt").alias("term")), "term")
     met = met.where(F.size(F.array_except("terms", "qt")) == 0)
     if exact:
@@ -91,9 +92,10 @@ def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact:
 def answer_leg(pool: DataFrame, queries: DataFrame, query_text: Column) -> DataFrame:
     """Claims of each question's pool (``query_id, id, text``) by the inverse frequencies, within the pool, of the question's terms that they cover."""
     asks = queries.select("query_id", F.explode(C.question_terms(query_text)).alias("term"))
-    sized = pool.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    terms = sized.select("query_id", "id", "n", F.explode(F.array_distinct(C.word_tokens(F.col("text")))).alias("term")).join(asks, ["query_id", "term"])
-    terms = terms.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term")))
+    size = pool.groupBy("query_id").agg(F.count("*").alias("n"))
+    terms = pool.select("query_id", "id", F.explode(F.array_distinct(C.word_tokens(F.col("text")))).alias("term")).join(asks, ["query_id", "term"])
+    frequency = terms.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(size, "query_id")
+    terms = terms.join(frequency, ["query_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return ranked(terms.groupBy("query_id", "id").agg(F.round(F.sum(idf), 9).alias("score")).where("score > 0"))
 
