@@ -238,3 +238,48 @@ def valid_identifier(scheme: Column, value: Column) -> Column:
         .when(scheme == "DOMAIN", v.rlike(r"(?i)^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}$"))
         .otherwise(F.lit(False))
     )
+
+
+def safe_path(value: Column) -> Column:
+    """Whether a path is relative, without parent steps, backslashes, drive letters or NUL, and at most 4096 long."""
+    bad = value.rlike(r"^/|^[A-Za-z]:|\\|\x00") | F.array_contains(F.split(value, "/"), "..") | (F.length(value) > 4096)
+    return F.coalesce(~bad, F.lit(False))
+
+
+def bcp47(tag: Column) -> Column:
+    """A language tag in canonical case (``pt-Latn-BR``); null if it has another shape."""
+    parts = F.transform(F.split(tag, "-"), lambda p, i: F.when(i == 0, F.lower(p)).when(p.rlike("^[A-Za-z]{4}$"), F.initcap(p)).otherwise(F.upper(p)))
+    return F.when(tag.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-([A-Za-z]{2}|[0-9]{3}))?$"), F.array_join(parts, "-"))
+
+
+def literal_identity(kind: Column, value: Column) -> Column:
+    """The identity of a literal: its kind (str, int, float, bool) and JSON, so that 1, 1.0, true and "1" stay apart."""
+    return F.concat(F.lit("literal:"), kind, F.lit(":"), F.when(kind == "str", F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2)).otherwise(value))
+
+
+def semantic_claim_id(subject: Column, predicate: Column, object_id: Column, kind: Column, value: Column) -> Column:
+    """The id of a claim by what it says."""
+    return sha256_id(F.lit("claim"), subject, predicate, F.coalesce(object_id, literal_identity(kind, value)))
+
+
+def contains_all(answer: Column, tokens: Column) -> Column:
+    """Whether an answer has every token, whatever the case."""
+    return F.forall(tokens, lambda t: F.lower(text_or_empty(answer)).contains(F.lower(t)))
+
+
+def within_span(start: Column, end: Column, outer_start: Column, outer_end: Column) -> Column:
+    """Whether a span lies in another and isn't empty."""
+    return (start >= outer_start) & (end <= outer_end) & (start < end)
+
+
+def surface_flags(text: Column) -> Column:
+    """What of a spelling a comparison would change: spaces, underscores, curly quotes, long dashes, signs of a wrong decoding."""
+    t = text_or_empty(text)
+    tests = (
+        ("whitespace_normalized", F.trim(F.regexp_replace(t, r"\s+", " ")) != t),
+        ("underscore_separator", t.contains("_")),
+        ("apostrophe_variant", t.rlike("[\u2018\u2019\u201b]")),
+        ("dash_variant", t.rlike("[\u2013\u2014]")),
+        ("suspected_mojibake", t.rlike("\ufffd|\u00c3[\u00a1\u00a3\u00a9\u00aa\u00ad\u00b3\u00ba\u00a7]|\u00e2\u20ac|\u00f0\u0178")),
+    )
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
