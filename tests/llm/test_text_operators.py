@@ -214,7 +214,8 @@ def test_page_differencing(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        got = html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        got = html.extract_main_text(pages, broadcast_bytes=8_000_000 if partitions > 1 else 0).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == len(rows)
