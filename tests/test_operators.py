@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -108,6 +109,25 @@ def test_fuzzy_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 0
 
 
+def test_fuzzy_pairs_are_all_pairs(spark):
+    lost = [("that en", "thea thnd"), ("the hetihe", "ther theahe"), ("the the", "theand thble"), ("the the erntre", "thea hetire, nt re")]
+    draw = random.Random(5)
+    words = ["the", "thea", "and", "hetire", "alpha", "station", "n\u00e9e", "sta", "ation", "eth"]
+    made = [" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(150)]
+    titles = [*itertools.chain(*lost), *made, *("".join(draw.sample(t, len(t))) for t in made[:40]), *(t[1:] + t[0] for t in made[:40]), None, ""]
+    rows = [(f"i{n:03}", "Concept" if n % 9 else "Place", t) for n, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "id string, type string, title string")
+    first = {}
+    for i, kind, t in rows:
+        first.setdefault((kind, udfs.discovery_key(t)), i)
+    for floor, least in ((0.9, 7), (0.75, 2)):
+        keys = [(i, kind, key) for (kind, key), i in first.items() if len(key) >= least]
+        want = {(a, b): round(udfs.jaro_winkler_of(x, y), 6) for (a, k, x), (b, m, y) in itertools.combinations(sorted(keys), 2) if k == m}
+        want = {p: score for p, score in want.items() if score >= floor}
+        got = [((r["a"], r["b"]), r["score"]) for r in resolve.fuzzy_pairs(df, floor, least).collect()]
+        assert len(got) == len(want) > 50 and dict(got) == want
+
+
 def test_admission_conflicts(spark):
     cases = {"uses tool": "queue_mapping_conflict", "writes": "exact_mapping", "both": "queue_mapping_conflict", "": "reject_placeholder", "Null": "reject_placeholder"}
     verdict = predicates.admission(F.col("raw"), F.lit(False), {"uses": "canonical", "author_of": "canonical"}, {"uses_tool": "handles", "writes": "author_of", "both": "uses"}, {"both": "uses"})
