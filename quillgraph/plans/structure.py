@@ -10,7 +10,7 @@ from quillgraph.functions import udfs
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators import detect, graph, integrity, ledger, predicates, quality, resolve, retrieve
 from quillgraph.operators.components import connected_components
-from quillgraph.plans.registry import query
+from quillgraph.plans.registry import ORACLE, query
 from quillgraph.sources.tables import CLAIMS_SQL, EDGES_SQL, NODES_SQL, claims, edges, nodes, table
 
 KEY = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -262,6 +262,20 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fuzzy_pairs(_titles(spark, sf_dir))
 
 
+@query(f"""WITH lp AS ({ORACLE["lane_pairs"]}), {TITLES_SQL}, l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM lp UNION ALL SELECT b FROM lp) GROUP BY id),
+h AS (SELECT type, title, min(id) AS representative, count(*) AS n_members FROM titles GROUP BY type, title)
+SELECT titles.id, representative, n_members, coalesce(l.n, 0) AS n_links FROM titles JOIN h USING (type, title) LEFT JOIN l ON l.id = representative""")
+def lane_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stands for its title in ``lane_pairs``, and that one's number of pairs."""
+    return resolve.lane_members(_titles(spark, sf_dir))
+
+
+@query()
+def fuzzy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stands for its key in ``fuzzy_pairs``, and that one's number of pairs; a test stands for SQL."""
+    return resolve.fuzzy_members(_titles(spark, sf_dir))
+
+
 @query("SELECT a.n_name AS a, b.n_name AS b, round(jaro_similarity(a.n_name, b.n_name), 6) AS score FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def jaro_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaro of all pairs of the 25 nations' names."""

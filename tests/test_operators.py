@@ -128,6 +128,15 @@ def test_fuzzy_pairs_are_all_pairs(spark):
         assert len(got) == len(want) > 50 and dict(got) == want
 
 
+def test_members_of_pairs(spark):
+    titles = {"a1": "Saulo Lima", "a2": "Saulo Lima", "a3": "Rita Lima", "a4": "saulo  lima", "a5": "Other Name", "a6": None, "a7": None}
+    df = spark.createDataFrame([(i, "Agent", t) for i, t in titles.items()], "id string, type string, title string")
+    lanes = {r["id"]: tuple(r)[1:] for r in resolve.lane_members(df).collect()}
+    assert lanes == {"a1": ("a1", 2, 2), "a2": ("a1", 2, 2), "a3": ("a3", 1, 2), "a4": ("a4", 1, 2), "a5": ("a5", 1, 0), "a6": ("a6", 2, 0), "a7": ("a6", 2, 0)}
+    fuzzy = {r["id"]: tuple(r)[1:3] for r in resolve.fuzzy_members(df).collect()}
+    assert fuzzy == {"a1": ("a1", 3), "a2": ("a1", 3), "a3": ("a3", 1), "a4": ("a1", 3), "a5": ("a5", 1), "a6": ("a6", 2), "a7": ("a6", 2)}
+
+
 def test_admission_conflicts(spark):
     cases = {"uses tool": "queue_mapping_conflict", "writes": "exact_mapping", "both": "queue_mapping_conflict", "": "reject_placeholder", "Null": "reject_placeholder"}
     verdict = predicates.admission(F.col("raw"), F.lit(False), {"uses": "canonical", "author_of": "canonical"}, {"uses_tool": "handles", "writes": "author_of", "both": "uses"}, {"both": "uses"})
