@@ -262,3 +262,20 @@ def test_mix_on_odd_rows(spark):
     assert got.count() == 6 and mix(docs.limit(0)).collect() == []
     both = mix(docs, memberships=F.when(F.col("doc_id") == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source")))
     assert both.count() == 6
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT type='x'>if(a<b && c<d)g('</p>')</Script >",
+        "<style>/* a<b ' */ p{}</style>",
+        "<textarea>a<b \"quoted</textarea>",
+        "<script>x = '<!--'; y = a<b</script>",
+        "<svg><style>a<b{}</style><text>no</text></svg>",
+        "<title>a<b</title>",
+    ],
+)
+def test_html_less_than_in_raw_elements(head):
+    page = f"<html><body>{head}<article><p>One two</p><p>a<i>b</i></p></article></body></html>"
+    assert html.text_lines(page) == [("One two", True, False), ("ab", True, False)]
