@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
+from quillgraph.functions import udfs
 from quillgraph.functions import vocabulary as V
+from quillgraph.operators import resolve
 from quillgraph.runtime import materialise
 
 
@@ -130,19 +135,50 @@ def batches(items: DataFrame, size: int) -> DataFrame:
     return keyed.select("seq", "block_id", F.concat_ws("#", "__k", part.cast("string")).alias("batch"))
 
 
+def lexical_aliases(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """``c_id, n_id, score``: every stored node of the candidate's type that a lane of names proposes, with the best score.
+
+    Shared surname, proper subset with the same first or a distinctive token, and equality without company suffixes
+    score 1; a Jaro-Winkler of 0.9 or more its own value. Equal exact keys, empty ones and the same id are no aliases.
+    """
+    keyed = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("type").alias("type"), udfs.exact_surface_key("title").alias(f"{p}_exact"), udfs.discovery_surface_key("title").alias(f"{p}_key")).where(F.col(f"{p}_exact") != "")
+    left, right = materialise(keyed(candidates, "c"), "alias-candidates"), materialise(keyed(stored, "n"), "alias-stored")
+    one = F.lit(1.0)
+
+    def meet(key: Callable[[Column], Column]) -> DataFrame:
+        c, n = (df.withColumn("w", key(F.col(f"{p}_key"))).where("w IS NOT NULL AND w <> ''") for df, p in ((left, "c"), (right, "n")))
+        return c.join(n, ["type", "w"])
+
+    subset = C.proper_subset(C.word_tokens(F.col("c_key")), C.word_tokens(F.col("n_key")))
+    stripped = lambda c: F.size(C.alias_base(F.col(c))) < F.size(C.word_tokens(F.col(c)))
+    pairs = [
+        meet(C.surname).withColumn("score", one),
+        meet(lambda k: F.get(C.word_tokens(k), F.lit(0))).where(subset).withColumn("score", one),
+        meet(lambda k: F.explode(F.filter(F.array_distinct(C.word_tokens(k)), C.is_distinctive))).where(subset).withColumn("score", one),
+        meet(lambda k: F.array_join(C.alias_base(k), " ")).where(stripped("c_key") | stripped("n_key")).withColumn("score", one),
+        meet(lambda k: k).withColumn("score", one),
+    ]
+    sides = left.select("type", F.col("c_key").alias("key")).unionByName(right.select("type", F.col("n_key").alias("key"))).distinct()
+    fuzzy = resolve.fuzzy_key_pairs(sides.where(F.length("key") >= V.FUZZY_MIN_LENGTH).withColumn("id", F.concat_ws("\x1f", "type", "key")))
+    fuzzy = fuzzy.select("a", "b", "score").unionByName(fuzzy.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    alike = left.withColumn("a", F.concat_ws("\x1f", "type", "c_key")).join(fuzzy, "a").join(right.withColumn("b", F.concat_ws("\x1f", "type", "n_key")).drop("type"), "b")
+    names = ["c_id", "n_id", "c_exact", "n_exact", "score"]
+    every = functools.reduce(DataFrame.unionByName, [p.select(*names) for p in (*pairs, alike)])
+    return every.where("c_exact <> n_exact AND c_id <> n_id").groupBy("c_id", "n_id").agg(F.max("score").alias("score"))
+
+
 def judged(candidates: DataFrame, stored: DataFrame, same: Column, band: float = V.SIMILAR_COSINE, k: int = 3, cap: int = 5) -> DataFrame:
     """``candidate_id, node_id``: the first stored node, in order of likeness, that the judge (a column over both rows) calls the same.
 
     ``candidates`` and ``stored`` have ``id, type, title, embedding`` (unit vectors). At most ``k`` come from the vector
-    band and ``cap`` from shared names; the judge sees no others.
+    band, and of all others that the lanes of names propose the ``cap`` best by score and id; the judge sees no others.
     """
     left, right = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "type", "title", "embedding")]) for df, p in ((candidates, "c"), (stored, "n")))
     near = left.join(right, F.col("c_type") == F.col("n_type")).withColumn("score", F.round(C.dot(F.col("c_embedding"), F.col("n_embedding")), 9)).where(F.col("score") >= band)
     rank = lambda order: F.row_number().over(Window.partitionBy("c_id").orderBy(*order))
     near = near.withColumn("r", rank([F.col("score").desc(), "n_id"])).where(F.col("r") <= k)
-    last = lambda c: F.try_element_at(C.word_tokens(F.col(c)), F.lit(-1))
-    named = left.withColumn("w", last("c_title")).join(right.withColumn("w2", last("n_title")), (F.col("c_type") == F.col("n_type")) & (F.col("w") == F.col("w2"))).drop("w", "w2").withColumn("score", F.lit(1.0))
-    named = named.withColumn("r", rank(["n_id"])).where(F.col("r") <= cap)
+    named = lexical_aliases(candidates, stored).join(near.select("c_id", "n_id"), ["c_id", "n_id"], "left_anti")
+    named = named.withColumn("r", rank([F.col("score").desc(), "n_id"])).where(F.col("r") <= cap).join(left, "c_id").join(right, "n_id")
     both = near.withColumn("lane", F.lit(0)).unionByName(named.withColumn("lane", F.lit(1))).where(same)
     return both.groupBy(F.col("c_id").alias("candidate_id")).agg(F.min_by("n_id", F.struct("lane", "r")).alias("node_id"))
 

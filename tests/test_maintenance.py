@@ -52,6 +52,20 @@ def test_judged_takes_the_first_accepted(spark):
     assert [(r["candidate_id"], r["node_id"]) for r in got] == [("c1", "n2")]
 
 
+def test_judged_sees_all_lanes_of_names(spark):
+    kind = "id string, type string, title string, embedding array<double>"
+    titles = {"c1": "Saulo", "c2": "Acme Works Ltd", "c3": "Northern Ligths", "c4": "Casey Lee", "c5": "Ana Reed", "c6": "Jos\u00e9"}
+    cand = spark.createDataFrame([(i, "Agent", t, [1.0, 0.0]) for i, t in titles.items()], kind)
+    names = {"n1": "Saulo Lima", "n2": "Acme Works", "n3": "Northern Lights", "n4": "Dr Casey Lee Jr", "n9": "Jose"}
+    rows = [(i, "Agent", t, [0.0, 1.0]) for i, t in names.items()]
+    # three in the vector band and four by surname alone come before the right one
+    rows += [(f"m{i}", "Agent", "Rita Reed", [1.0, 0.0]) for i in range(3)] + [(f"o{i}", "Agent", f"X{i} Reed", [0.0, 1.0]) for i in range(5)]
+    got = consolidate.judged(cand, spark.createDataFrame(rows, kind), F.col("n_id").isin("n1", "n2", "n3", "n4", "n9", "o4")).collect()
+    assert {r["candidate_id"]: r["node_id"] for r in got} == {"c1": "n1", "c2": "n2", "c3": "n3", "c4": "n4", "c5": "o4", "c6": "n9"}
+    scores = {(r["c_id"], r["n_id"]): round(r["score"], 4) for r in consolidate.lexical_aliases(cand, spark.createDataFrame(rows, kind)).collect()}
+    assert scores["c1", "n1"] == scores["c2", "n2"] == scores["c6", "n9"] == 1.0 and 0.9 <= scores["c3", "n3"] < 1 and ("c1", "n2") not in scores
+
+
 def test_type_corrections(spark):
     chains = spark.createDataFrame([(1, "a", "Agent", "Place"), (2, "a", "Place", "Concept"), (1, "b", "Concept", "Place")], "seq int, id string, previous string, corrected string")
     current = spark.createDataFrame([("a", "Agent"), ("b", "Agent"), ("c", "Agent")], "id string, type string")
