@@ -44,6 +44,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
+def op4_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under trigrams, with two steps of backoff; a test against brute force stands for SQL."""
+    scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
+    return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL with the rule that fits and the verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -90,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+#: Further settings of an operator, registered beside its query.
+MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_lm_scoring_trigrams": op4_lm_scoring_trigrams}
+
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
