@@ -147,3 +147,13 @@ def test_more_columns(spark):
     assert one(spark, C.surface_flags(lit("a_b’s – c  d"))) == ["whitespace_normalized", "underscore_separator", "apostrophe_variant", "dash_variant"]
     assert one(spark, C.contains_all(lit("The Answer is 42"), F.array(lit("answer"), lit("42"))))
     assert one(spark, C.within_span(lit(1), lit(2), lit(0), lit(2))) and not one(spark, C.within_span(lit(1), lit(3), lit(0), lit(2)))
+
+
+def test_sentence_diffs_take_every_document(spark):
+    from quillgraph.plans import maintenance
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.trim("text") != "")
+    got = maintenance.sentence_diffs(spark, SF)
+    assert got.select("block_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert {r["survived"] for r in got.select("survived").distinct().collect()} == {True, False}
