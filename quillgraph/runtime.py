@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file:///tmp/quillgraph-shared-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,10 +48,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark then deletes the shuffle files of a query when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within this block, queries delete their shuffle files as they end; for frames that are run once."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def remove_scratch(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for frames that nothing reads any more; other frames' files stay."""
+    own = f"{shared_dir(spark)}/quillgraph/"
+    for path in {file.rsplit("/", 1)[0] for df in frames if df is not None for file in df.inputFiles()}:
+        if path.split(":", 1)[-1].lstrip("/").startswith(own.split(":", 1)[-1].lstrip("/")):
+            remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of our own, through Hadoop's file system API so that any store works."""
     jvm = spark.sparkContext._jvm
