@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +75,53 @@ def texts_of(column: pa.ChunkedArray | pa.Array):
     """The column's values one by one, without a copy of the whole batch as Python strings."""
     for value in column:
         yield value.as_py()
+
+
+@dataclass
+class Tokens:
+    """The words of a slice of documents in order: a 64-bit hash of each, and the place of its document."""
+
+    hashes: np.ndarray
+    docs: np.ndarray
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes and of its length, eight bytes at a time; seven more bytes follow the last run."""
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    left = ends - starts
+    out = mix64(left.astype(np.uint64) * _STEP + (eights[starts] & _LOW_BYTES[np.minimum(left, 8)]))
+    long = np.flatnonzero(left > 8)
+    at, left = starts[long], left[long]
+    while len(long):
+        at, left = at + 8, left - 8
+        out[long] = mix64(out[long] * _STEP + (eights[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        long, at, left = long[more], at[more], left[more]
+    return out
+
+
+def tokens_of(batch: pa.RecordBatch, column: str, slice_bytes: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """The words (as of ``words_alnum``) of slices of the batch with about ``slice_bytes`` of text, or one longer text, read at once."""
+    texts = batch.column(column).cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + slice_bytes, "right")) - 1)
+        low, high = int(offsets[begin]), int(offsets[end])
+        text = bytes(memoryview(texts.buffers()[2])[low:high]) if high > low else b""
+        # a space before and eight behind: each word has two edges, and eight bytes can be read from each
+        raw = np.frombuffer(b" " + text.translate(_ALNUM) + b" " * 8, np.uint8)
+        inside = raw != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        # a word ends where its document does
+        cuts = offsets[begin + 1 : end] - low + 1
+        cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]])
+        if len(cuts):
+            edges = np.sort(np.concatenate([edges, cuts, cuts]))
+        first, last = edges[::2], edges[1::2]
+        docs = np.searchsorted(offsets[begin : end + 1] - low + 1, first, "right") - 1
+        yield batch.slice(begin, end - begin), Tokens(_run_hashes(raw, first, last), docs)
+        begin = end

@@ -7,12 +7,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import html_extract as html
 from quillgraph.llm.decontaminate import decontaminate
-from quillgraph.llm.lm_scoring import _pack, _pack_counts, _unpack, _unpack_counts, lm_scores
+from quillgraph.llm.common import tokens_of, words_alnum
+from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import min_cost_flow, mix, targets
 from quillgraph.llm.quality import Discriminant, fit_quality, quality_scores, statistics
 from quillgraph.llm.toxicity import fit_toxicity, toxicity_scores, word_buckets
@@ -80,23 +82,35 @@ def brute_lm(rows, order, discount=0.4):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("order", "chunk"), [(2, 16_000_000), (3, 300), (1, 2000)])
-def test_language_model(spark, order, chunk):
+@pytest.mark.parametrize(("order", "settings"), [(3, {}), (3, {"pass_bytes": 60_000}), (3, {"pass_bytes": 60_000, "broadcast_words": 0}), (2, {"broadcast_words": 0}), (2, {"pass_bytes": 100_000}), (1, {}), (1, {"broadcast_words": 0})])
+def test_language_model(spark, order, settings):
     rng = random.Random(order)
-    docs = ODD + [(10 + i, " ".join(rng.choice(["the", "of", "a", "cat", "dog", f"r{i}"]) for _ in range(40)), "x") for i in range(12)]
-    got = lm_scores(spark.createDataFrame(docs, KIND), order=order, chunk_bytes=chunk)
+    docs = ODD + [(10 + i, " ".join(rng.choice(["the", "of", "a", "cat", "dog", f"r{i}"]) for _ in range(40)), "x") for i in range(12)] + [(30 + i, w, None) for i, w in enumerate(("the", "the cat", "the cat of", "r1 r2 r3 r4"))]
+    got = lm_scores(spark.createDataFrame(docs, KIND), order=order, **settings)
     rows = sorted(((r[0], r[1], round(r[2], 6), None if r[3] is None else round(r[3], 6)) for r in got.collect()), key=repr)
     for a, b in zip(rows, brute_lm(docs, order), strict=True):
         assert a == pytest.approx(b, abs=1e-5, nan_ok=True) if a[0] is not None and a[3] is not None else a[:2] == b[:2]
-    assert lm_scores(spark.createDataFrame([], KIND)).collect() == []
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'lm_counts%'").count()
 
 
-def test_packed_counts():
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64))
-    for k in (keys, keys[:1], keys[:0], np.array([1, 2**63], np.uint64)):
-        assert (_unpack(_pack(k)) == k).all()
-    counts = np.array([1, 254, 255, 256, 2**40, 3])
-    assert (_unpack_counts(_pack_counts(counts)) == counts).all()
+def test_language_model_of_nothing(spark):
+    assert lm_scores(spark.createDataFrame([], KIND)).collect() == []
+    with pytest.raises(ValueError, match="order"):
+        lm_scores(spark.createDataFrame([], KIND), order=4)
+
+
+def test_tokens_of_slices():
+    texts = [None, "", "one", "two", "Two, thirteenletters", "é É ß", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 18, " ", "a-b_c", "q" * 100_000, "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skipped one", *texts], pa.string())], names=["text"]).slice(1)
+    for size in (1, 30, 4_000_000):
+        seen, back, rows = {}, {}, 0
+        for part, tokens in tokens_of(batch, "text", size):
+            flat = [(i, w) for i, text in enumerate(part.column("text").to_pylist()) for w in words_alnum(text or "")]
+            assert tokens.docs.tolist() == [i for i, _ in flat]
+            for (_, word), code in zip(flat, tokens.hashes.tolist(), strict=True):
+                assert seen.setdefault(word, code) == code and back.setdefault(code, word) == word
+            rows += part.num_rows
+        assert rows == len(texts)
 
 
 def held(rows, label, test):
