@@ -57,7 +57,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text."""
+    """Every page's main text, with the lines that differencing and the markup took."""
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,33 @@ def test_longest_common_subsequence():
         assert all(a[i] in rest for i in found)
 
 
+def test_long_pages():
+    began = time.process_time()
+    same = [1] * 50_000
+    assert len(html.shared_places(same, same[:-7])) == 49_993
+    a, b = [1, 2] * 20_000, [2, 1] * 20_000
+    assert len(html.shared_places(a, b)) == 39_999 and html.shared_places(a, []) == html.shared_places([], b) == set()
+    deep = html.text_lines("<div>" * 60_000 + "</span>" * 60_000 + "<article>in</article>" + "</div>" * 60_000 + "out")
+    assert deep == [("in", True, False), ("out", False, False)]
+    assert html.text_lines("<section><div class=ad><div><b>x</section>y") == [("x", False, True), ("y", False, False)]
+    assert time.process_time() - began < 60
+
+
+def test_differencing_on_real_pages(spark):
+    """Without its article element a page is decided by differencing and by what the markup rules out; copies of an article are lost then."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article[^>]*>", ""))
+    want = {r["page_id"]: r for r in html.extract_main_text(pages).collect()}
+    got = {r["page_id"]: r for r in html.extract_main_text(bare).collect()}
+    assert all(r["n_shared"] == 0 and r["n_by_markup"] > 0 for r in want.values())
+    assert sum(got[i]["text"] == r["text"] for i, r in want.items()) >= 0.8 * len(want)
+    # and without any markup of its own, lines that neighbours share go
+    body = "<div>Menu {0}</div><div>News of the day</div><p>own {1}</p><div>Terms {0}</div>"
+    rows = [(i, f"http://h/{i // 3}/{i}", body.format(i // 3, i)) for i in range(9)]
+    plain = html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert [(r["text"], r["n_shared"], r["n_by_markup"]) for r in sorted(plain)] == [(f"own {i}", 3, 0) for i in range(9)]
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 7])
 def test_page_differencing(spark, partitions):
     body = "<div>Top menu of the site</div><p>{}</p><div>Imprint and more</div>"
