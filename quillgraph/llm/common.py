@@ -79,20 +79,27 @@ def texts_of(column: pa.ChunkedArray | pa.Array):
 
 @dataclass
 class Tokens:
-    """The words of a slice of documents in order: a 64-bit hash of each, and the place of its document."""
+    """The words of a slice of documents in order: a 64-bit hash of each, the place of its document, its first eight bytes and its length."""
 
     hashes: np.ndarray
     docs: np.ndarray
+    heads: np.ndarray
+    lengths: np.ndarray
+
+    def starts(self, size: int) -> np.ndarray:
+        """A hash of the first ``size`` bytes of each word, unlike that of any word."""
+        return mix64(mix64(self.heads & _LOW_BYTES[size]) + np.uint64(size))
 
 
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes and of its length, eight bytes at a time; seven more bytes follow the last run."""
+def _run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each run of bytes and of its length, eight bytes at a time; its first eight; its length. Seven more bytes follow the last run."""
     eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
-    left = ends - starts
-    out = mix64(left.astype(np.uint64) * _STEP + (eights[starts] & _LOW_BYTES[np.minimum(left, 8)]))
+    left = lengths = ends - starts
+    heads = eights[starts] & _LOW_BYTES[np.minimum(left, 8)]
+    out = mix64(left.astype(np.uint64) * _STEP + heads)
     long = np.flatnonzero(left > 8)
     at, left = starts[long], left[long]
     while len(long):
@@ -100,7 +107,7 @@ def _run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         out[long] = mix64(out[long] * _STEP + (eights[at] & _LOW_BYTES[np.minimum(left, 8)]))
         more = left > 8
         long, at, left = long[more], at[more], left[more]
-    return out
+    return out, heads, lengths
 
 
 def tokens_of(batch: pa.RecordBatch, column: str, slice_bytes: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
@@ -123,5 +130,6 @@ def tokens_of(batch: pa.RecordBatch, column: str, slice_bytes: int = 4_000_000)
             edges = np.sort(np.concatenate([edges, cuts, cuts]))
         first, last = edges[::2], edges[1::2]
         docs = np.searchsorted(offsets[begin : end + 1] - low + 1, first, "right") - 1
-        yield batch.slice(begin, end - begin), Tokens(_run_hashes(raw, first, last), docs)
+        hashes, heads, lengths = _run_hashes(raw, first, last)
+        yield batch.slice(begin, end - begin), Tokens(hashes, docs, heads, lengths)
         begin = end

@@ -18,7 +18,7 @@ from quillgraph.llm.common import tokens_of, words_alnum
 from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import min_cost_flow, mix, targets
 from quillgraph.llm.quality import Discriminant, fit_quality, quality_scores, statistics
-from quillgraph.llm.toxicity import fit_toxicity, toxicity_scores, word_buckets
+from quillgraph.llm.toxicity import fit_toxicity, nn_risk, toxicity_scores, word_buckets
 from quillgraph.llm.url_filter import UrlJudge, host_and_path, judge_urls
 from tests.conftest import SF
 
@@ -160,6 +160,49 @@ def test_toxicity_held_out(spark):
     assert kept and sum(r["predicted"] == t for r, t in kept) >= 0.97 * len(kept)
 
 
+def test_risk_and_its_clipped_branch():
+    rng = np.random.default_rng(4)
+    gp, gu, prior, small = rng.normal(0, 1, 7), rng.normal(0, 1, 30), 0.3, 1e-6
+    plus, minus = (lambda g: np.log1p(np.exp(-g))), (lambda g: np.log1p(np.exp(g)))
+    parts = lambda a, b: (prior * plus(a).mean(), minus(b).mean() - prior * minus(a).mean())
+    for shift, clipped in ((0.0, False), (-6.0, True)):
+        # unlabelled rows that all look clean beside positive ones that don't make the second part negative
+        b = gu + shift
+        risk, dp, du, was = nn_risk(gp, b, prior)
+        first, second = parts(gp, b)
+        assert was == clipped == (second < 0) and risk == pytest.approx(first + max(0.0, second))
+        goal = (lambda a, b: -parts(a, b)[1]) if clipped else (lambda a, b: sum(parts(a, b)))
+        for i in range(len(gp)):
+            step = np.eye(len(gp))[i] * small
+            assert dp[i] == pytest.approx((goal(gp + step, b) - goal(gp - step, b)) / (2 * small), abs=1e-6)
+        for i in range(len(b)):
+            step = np.eye(len(b))[i] * small
+            assert du[i] == pytest.approx((goal(gp, b + step) - goal(gp, b - step)) / (2 * small), abs=1e-6)
+
+
+def test_training_meets_the_clipped_branch(monkeypatch):
+    from quillgraph.llm import toxicity
+
+    seen, risk = [], toxicity.nn_risk
+    monkeypatch.setattr(toxicity, "nn_risk", lambda *a: seen.append(risk(*a)) or seen[-1])
+    rng = np.random.default_rng(5)
+    positive = [np.array([1, 2]) for _ in range(40)]
+    unlabelled = [np.array([1, 2]) if rng.random() < 0.1 else np.array([rng.integers(3, 9)]) for _ in range(200)]
+    model = toxicity.train_nnpu(positive, unlabelled, np.arange(1, 9), 0.4)
+    assert {x[3] for x in seen} == {False, True}
+    table = model.table()
+    assert table[1] + table[2] + model.bias > np.log(0.3 / 0.7) > table[3:9].max() + model.bias
+
+
+def test_features_against_sets():
+    def plain(text):
+        ws = set(words(text))
+        return len({(0, w) for w in ws} | {(n, w.encode()[:n]) for w in ws for n in (4, 5, 6) if len(w.encode()) >= n})
+
+    for text in (None, "", "a", "abcd abcde abcdef abcdefg", "Überall überall, ß", "x" * 5000, "abcdefgh abcdefghi abcdefgh"):
+        assert len(word_buckets(text)) == plain(text)
+
+
 def test_word_buckets_mark_prefixes():
     assert len(word_buckets("abcdef")) == 4 and len(word_buckets("abc abc")) == 1 and len(word_buckets(None)) == 0
 
