@@ -1,11 +1,11 @@
 """Benchmark decontamination by winnowing.
 
 Every window of ``window`` words is represented by the least hash among its ``k``-grams. Equal windows have
-equal minima, so each shared span of at least ``window`` words shares a fingerprint. A document's windows
-whose minimum is a fingerprint of the benchmark are compared word by word, and hits in a row grow into the
-whole shared span. Items shorter than a window are one window of their own length.
+equal minima, so each shared span of at least ``window`` words shares a fingerprint. Where a minimum of a
+document is a fingerprint of an item, the hit is extended word by word to both sides, and counts if it holds a
+window. Items shorter than a window are one window of their own length.
 
-The benchmark's index is broadcast up to ``max_index_bytes`` of item text (measured first), and each
+The benchmark's index is broadcast if items and index hold at most ``max_index_bytes`` each (measured), and each
 document is then read once without a shuffle. Beyond that, fingerprints of documents and items are joined.
 """
 
@@ -37,38 +37,90 @@ def window_minima(word_hashes: np.ndarray, window: int, k: int) -> np.ndarray:
     return out
 
 
+def minimum_places(grams: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` k-grams the place of its least hash, the first one on a tie."""
+    count = len(grams) - span + 1
+    if count <= 0:
+        return np.empty(0, np.int64)
+    least, place = grams[:count].copy(), np.arange(count)
+    for i in range(1, span):
+        lower = grams[i : i + count] < least
+        np.copyto(least, grams[i : i + count], where=lower)
+        place[lower] = np.flatnonzero(lower) + i
+    return place
+
+
 class BenchmarkIndex:
-    """Fingerprints of the items by length of window, and the windows' words to confirm them by."""
+    """Selected fingerprints of the items, and the items' words as 64-bit hashes to extend hits by.
+
+    Words are compared by these hashes. Items are grouped by the length of their window; in each group the sorted
+    fingerprints point to a word of one long array, where items are parted by gaps that no word equals.
+    """
 
     def __init__(self, items: Iterable[tuple[int | None, str | None]], window: int, k: int):
         self.window, self.k = window, k
-        self.windows: dict[int, dict[bytes, list]] = {}
-        prints: dict[int, list[np.ndarray]] = {}
+        self.names: list[int | None] = []
+        words: list[np.ndarray] = []
+        prints: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        starts, at = [], 0
         for item, text in items:
-            words = words_alnum(text or "")
-            size = min(window, len(words))
+            hashes = hash_words(words_alnum(text or ""))
+            size = min(window, len(hashes))
             if size:
-                held = self.windows.setdefault(size, {})
-                for i in range(len(words) - size + 1):
-                    owners = held.setdefault(b" ".join(words[i : i + size]), [])
-                    if item not in owners:
-                        owners.append(item)
-                prints.setdefault(size, []).append(window_minima(hash_words(words), size, k))
-        self.prints = {size: np.unique(np.concatenate(found)) for size, found in prints.items()}
-
-    def spans(self, words: list[bytes]) -> list[tuple[int, int, list]]:
-        """``start, end, items`` of each window of the document that occurs in an item."""
-        found: list[tuple[int, int, list]] = []
+                grams = gram_hashes(hashes, min(k, size))
+                places = np.unique(minimum_places(grams, size - min(k, size) + 1))
+                prints.setdefault(size, []).append((grams[places], places + at))
+                self.names.append(item)
+                words.append(hashes)
+                starts.append(at)
+                at += len(hashes)
+        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
+        self.starts = np.array([*starts, at], np.int64)
+        self.prints: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, found in prints.items():
+            keys, places = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            order = np.argsort(keys, kind="stable")
+            self.prints[size] = keys[order], places[order]
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.starts.nbytes + 16 * len(self.names) + sum(x.nbytes + y.nbytes for x, y in self.prints.values())
+
+    def spans(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
+        """``start, end, item`` of each longest run of words that the document shares with an item and that holds a window.
+
+        Every window that equals one of an item has its least k-gram where that one has it, so the window lies in
+        the run around this k-gram.
+        """
+        found: list[tuple[int, int, int | None]] = []
         hashes = hash_words(words) if words and self.prints else np.empty(0, np.uint64)
-        for size, prints in self.prints.items():
-            minima = window_minima(hashes, size, self.k)
-            at = np.searchsorted(prints, minima)
-            at[at == len(prints)] = 0
-            for i in np.flatnonzero(prints[at] == minima).tolist():
-                if owners := self.windows[size].get(b" ".join(words[i : i + size])):
-                    found.append((i, i + size, owners))
+        for size, (keys, places) in self.prints.items():
+            k = min(self.k, size)
+            grams = gram_hashes(hashes, k)
+            picked = np.unique(minimum_places(grams, size - k + 1))
+            low, high = np.searchsorted(keys, grams[picked]), np.searchsorted(keys, grams[picked], "right")
+            done: dict[tuple[int, int], int] = {}  # item and its shift against the document: how far it has been compared
+            for here, a, b in zip(picked.tolist(), low.tolist(), high.tolist(), strict=True):
+                for place in places[a:b].tolist():
+                    item = int(np.searchsorted(self.starts, place, "right")) - 1
+                    shift = place - here
+                    if done.get((item, shift), -1) > here:
+                        continue
+                    start, end = self._run(hashes, here, place, item)
+                    done[item, shift] = max(end, here + 1)
+                    if end - start >= size:
+                        found.append((start, end, self.names[item]))
         return found
 
+    def _run(self, hashes: np.ndarray, here: int, place: int, item: int) -> tuple[int, int]:
+        """The run of equal words around the document's word ``here`` and the item's at ``place``."""
+        back = min(here, place - int(self.starts[item]))
+        ahead = min(len(hashes) - here, int(self.starts[item + 1]) - place)
+        other = np.flatnonzero(hashes[here : here + ahead] != self.words[place : place + ahead])
+        end = here + (int(other[0]) if len(other) else ahead)
+        other = np.flatnonzero(hashes[here - back : here] != self.words[place - back : place])
+        return here - back + (int(other[-1]) + 1 if len(other) else 0), end
+
 
 def covered(n_words: int, spans: Iterable[tuple[int, int]]) -> int:
     """How many words lie in any of the spans."""
@@ -101,7 +153,7 @@ def _by_broadcast(texts: DataFrame, index: BenchmarkIndex) -> DataFrame:
             for value in batch.column("text"):
                 words = words_alnum(value.as_py() or "")
                 spans = index.spans(words)
-                out.append(_summary(len(words), [x[:2] for x in spans], {o for x in spans for o in x[2]}))
+                out.append(_summary(len(words), [x[:2] for x in spans], {x[2] for x in spans}))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
             columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n_words", "n_hit", "items", "items_sha256"])
@@ -171,9 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if size <= max_index_bytes:
-        found = _by_broadcast(texts, BenchmarkIndex(((r["item"], r["text"]) for r in items.collect()), window, k))
-    else:
-        found = _by_join(texts, items, window, k)
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    index = BenchmarkIndex(((r["item"], r["text"]) for r in items.collect()), window, k) if size <= max_index_bytes else None
+    found = _by_broadcast(texts, index) if index and index.nbytes <= max_index_bytes else _by_join(texts, items, window, k)
     return _result(docs, found, id_col)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import html_extract as html
-from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.decontaminate import BenchmarkIndex, covered, decontaminate
 from quillgraph.llm.common import tokens_of, words_alnum
 from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import min_cost_flow, mix, targets
@@ -58,6 +59,27 @@ def test_decontamination(spark, size):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_decon(docs, items)
 
 
+def test_decontamination_extends_hits():
+    rng = random.Random(8)
+    text = lambda n, letters="ab": [rng.choice(letters) for _ in range(n)]
+    for trial in range(150):
+        # few different words: windows repeat, ties between hashes are common, hits overlap
+        items = [(i, " ".join(text(rng.randrange(0, 24), "abc"[: 1 + trial % 3]))) for i in range(4)]
+        doc = " ".join(text(60, "abc"[: 1 + trial % 3]))
+        index = BenchmarkIndex(items, 10, 5)
+        got = index.spans(doc.encode().split())
+        row = brute_decon([(1, doc)], items)[0]
+        assert covered(60, [x[:2] for x in got]) == row[2] and len({x[2] for x in got}) == row[3]
+
+
+def test_benchmark_index_is_small():
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 300))) for i in range(1500)]
+    size = sum(len(t) for _, t in items)
+    index = BenchmarkIndex(items, 10, 5)
+    assert len(pickle.dumps(index)) < 4 * size and index.nbytes < 4 * size
+
+
 @pytest.mark.parametrize("size", [32_000_000, 0])
 def test_decontamination_of_nothing(spark, size):
     none, items = spark.createDataFrame([], KIND), spark.createDataFrame([], "item_id bigint, text string")
