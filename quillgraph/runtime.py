@@ -53,6 +53,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores (small tables lie in one file of one row group), dealt out to all of them.
+
+    A large scan stays as it is. For plain scans only: other plans would run their shuffles to be counted.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 #: Spark then deletes the shuffle files of a query when it ends, not when the driver happens to collect garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
