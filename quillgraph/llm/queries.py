@@ -17,36 +17,41 @@ from quillgraph.llm.near_dedup import near_duplicates
 from quillgraph.llm.quality import fit_quality, quality_scores
 from quillgraph.llm.toxicity import fit_toxicity, toxicity_scores
 from quillgraph.llm.url_filter import RULES, SOFT_TERMS, STRICT_TERMS, judge_urls
+from quillgraph.runtime import spread
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     texts = docs.select("doc_id", "text")
     return quality_scores(texts, fit_quality(texts, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity_scores(docs, fit_toxicity(docs, labels))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component under 3-word shingles and a similarity of at least 0.85."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     return near_duplicates(docs, n=3, num=85, den=100)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its stupid-backoff score under trigrams of all other documents; the mean has four decimals, as far as sums in any order agree."""
-    scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scored = lm_scores(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 def op4_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same under bigrams, with one step of backoff."""
-    scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2)
+    scored = lm_scores(_table(spark, sf_dir, "documents"), order=2)
     return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
@@ -58,7 +63,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text, with the lines that differencing and the markup took."""
-    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside windows of benchmark items."""
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).drop("items")
 
 
