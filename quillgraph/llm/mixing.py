@@ -85,6 +85,42 @@ def min_cost_flow(supplies: Sequence[int], members: Sequence[Sequence[int]], quo
     return [{v - n_p: graph[v][r][1] for v, _, _, r in graph[p] if n_p <= v < n_p + n_s and graph[v][r][1] > 0} for p in range(n_p)]
 
 
+def route(supplies: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], max_repeats: int) -> list[dict[int, int]]:
+    """The cheapest flow, found for each set of patterns that share sources by itself.
+
+    Patterns that share nothing with others (one source each, as a rule) need no search: they give what is asked,
+    as far as their repetitions reach.
+    """
+    parent = list(range(len(quotas)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for m in members:
+        for s in m[1:]:
+            parent[root(s)] = root(m[0])
+    groups: dict[int, list[int]] = {}
+    for p, m in enumerate(members):
+        if m:
+            groups.setdefault(root(m[0]), []).append(p)
+    out: list[dict[int, int]] = [{} for _ in supplies]
+    for group in groups.values():
+        if len(group) == 1 and len(members[group[0]]) == 1:
+            (p,), (s,) = group, members[group[0]]
+            given = min(quotas[s], supplies[p] * max_repeats)
+            out[p] = {s: given} if given else {}
+            continue
+        sources = sorted({s for p in group for s in members[p]})
+        at = {s: i for i, s in enumerate(sources)}
+        flows = min_cost_flow([supplies[p] for p in group], [[at[s] for s in members[p]] for p in group], [quotas[s] for s in sources], max_repeats)
+        for p, flow in zip(group, flows, strict=True):
+            out[p] = {sources[i]: given for i, given in flow.items()}
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -94,7 +130,7 @@ def _name_order(name: str | None) -> tuple:
     return name is None, name or ""
 
 
-def mix(docs: DataFrame, *, memberships: Column | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: Callable[[int, str | None], float] = lambda i, _: WEIGHTS[i % len(WEIGHTS)], max_repeats: int = 3, seed: int = 11, max_patterns: int = 20_000, keep_columns: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, memberships: Column | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: Callable[[int, str | None], float] = lambda i, _: WEIGHTS[i % len(WEIGHTS)], max_repeats: int = 3, seed: int = 11, keep_columns: bool = False) -> DataFrame:
     """Choose how many words of each document the mix takes, so that every source meets its target.
 
     ``memberships`` is an array of source names for each document (default: its one source). ``weights`` maps
@@ -105,7 +141,8 @@ def mix(docs: DataFrame, *, memberships: Column | None = None, source_col: str =
     * A null or empty text has size 0 and is taken with 0 words. A null source is a source of its own; a
       document of no source isn't taken. An empty table gives an empty result.
     * Rows that repeat id and text share one place in the seeded order and are taken alike.
-    * The distinct membership patterns are collected; more than ``max_patterns`` raise an error.
+    * One row for each distinct membership pattern is collected, however many documents there are. Only patterns
+      that overlap others meet in the flow, whose time grows with their number.
     """
     if memberships is None:
         memberships = F.array(F.col(source_col))
@@ -115,9 +152,7 @@ def mix(docs: DataFrame, *, memberships: Column | None = None, source_col: str =
     sized = docs.select(F.struct(*(rest if keep_columns else [id_col])).alias("row"), n_words(F.col(text_col)).alias("size"), F.coalesce(pattern, F.lit("[]")).alias("pattern"), place.alias("place"))
     sized = materialise(sized, "sized")
 
-    sums = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    sums = sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()
     sums = sorted((r["pattern"], r["size"]) for r in sums)
     named = [[None if m["z"] else m["s"] for m in json.loads(p)] for p, _ in sums]
     sources = sorted({s for m in named for s in m}, key=_name_order)
@@ -125,7 +160,7 @@ def mix(docs: DataFrame, *, memberships: Column | None = None, source_col: str =
     members = [[at[s] for s in m] for m in named]
     source_sizes = [sum(size for (_, size), m in zip(sums, members, strict=True) if i in m) for i in range(len(sources))]
     wanted = targets(source_sizes, [weights(i, s) for i, s in enumerate(sources)], sum(size for (_, size), m in zip(sums, members, strict=True) if m), max_repeats)
-    flows = min_cost_flow([size for _, size in sums], members, [round(t) for t in wanted], max_repeats)
+    flows = route([size for _, size in sums], members, [round(t) for t in wanted], max_repeats)
 
     plan = []
     for (name, size), m, flow in zip(sums, members, flows, strict=True):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import pickle
 import random
@@ -17,7 +18,7 @@ from quillgraph.llm import html_extract as html
 from quillgraph.llm.decontaminate import BenchmarkIndex, covered, decontaminate
 from quillgraph.llm.common import tokens_of, words_alnum
 from quillgraph.llm.lm_scoring import lm_scores
-from quillgraph.llm.mixing import min_cost_flow, mix, targets
+from quillgraph.llm.mixing import min_cost_flow, mix, route, targets
 from quillgraph.llm.quality import Discriminant, fit_quality, quality_scores, statistics
 from quillgraph.llm.toxicity import fit_toxicity, nn_risk, toxicity_scores, word_buckets
 from quillgraph.llm.url_filter import UrlJudge, host_and_path, judge_urls
@@ -345,6 +346,31 @@ def test_flow_repeats_as_little_as_it_can():
     assert min_cost_flow([4], [[0]], [100], 3) == [{0: 12}]
 
 
+def test_flow_against_all_flows():
+    """The cheapest of all ways to route whole tokens: what each pattern gives in sum decides the cost."""
+    rng = random.Random(9)
+    cost = lambda given, supply: sum(r * (r + 1) // 2 * max(0, min(given - r * supply, supply)) for r in range(3))
+    for _ in range(60):
+        supplies = [rng.randrange(1, 4) for _ in range(3)]
+        members = [sorted(rng.sample(range(3), rng.randrange(1, 4))) for _ in range(3)]
+        quotas = [rng.randrange(0, 5) for _ in range(3)]
+        best = None
+        ways = [list(itertools.product(range(5), repeat=len(m))) for m in members]
+        for way in itertools.product(*ways):
+            got = [0, 0, 0]
+            for m, given in zip(members, way, strict=True):
+                for s, n in zip(m, given, strict=True):
+                    got[s] += n
+            if any(g > q for g, q in zip(got, quotas, strict=True)) or any(sum(given) > 3 * s for given, s in zip(way, supplies, strict=True)):
+                continue
+            key = (-sum(got), sum(cost(sum(given), s) for given, s in zip(way, supplies, strict=True)))
+            best = key if best is None or key < best else best
+        for solve in (min_cost_flow, route):
+            flows = solve(supplies, members, quotas, 3)
+            assert all(sum(f.get(s, 0) for f in flows) <= quotas[s] for s in range(3)) and all(set(f) <= set(m) for f, m in zip(flows, members, strict=True))
+            assert (-sum(sum(f.values()) for f in flows), sum(cost(sum(f.values()), s) for f, s in zip(flows, supplies, strict=True))) == best
+
+
 def test_mix(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mix(docs).collect()
