@@ -18,20 +18,22 @@ from quillgraph.runtime import materialise
 
 def grounding_score(title: Column, content: Column, source: Column) -> Column:
     """How well a source supports a candidate: 50 for its title as a phrase, 5 for each shared title token, 1 for each shared content token."""
-    src, words = C.ascii_surface_key(source), C.word_tokens(source)
+    src, words = udfs.surface_key(source), C.word_tokens(source)
     shared = lambda x: F.size(F.array_intersect(F.array_distinct(C.word_tokens(x)), words))
-    phrase = (C.ascii_surface_key(title) != "") & src.contains(C.ascii_surface_key(title))
+    phrase = (udfs.surface_key(title) != "") & src.contains(udfs.surface_key(title))
     return F.when(src == "", 0).otherwise(F.when(phrase, 50).otherwise(0) + 5 * shared(title) + shared(content))
 
 
 def collapse_duplicates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``id, survivor`` for each candidate, and the remapped edges without loops and repeats.
 
-    ``nodes(seq, id, type, title, score)``, ``edges(id, type, src, dst, block_id)``. Candidates of one type and key fold
+    ``nodes(seq, id, type, title, score)``, ``edges(id, type, src, dst, block_id)``. A candidate without a title folds
+    with nothing. Candidates of one type and key fold
     into the best grounded one, then the first. Two that an edge joins never become one, not even through others: keys
     without such an edge, nearly all of them, fold by a window; a key with one is folded in order, by itself.
     """
-    keyed = nodes.withColumn("key", F.concat_ws("\x1f", "type", C.ascii_surface_key(F.col("title"))))
+    title = udfs.surface_key(F.col("title"))
+    keyed = nodes.withColumn("key", F.when(title != "", F.concat_ws("\x1f", "type", title)).otherwise(F.concat(F.lit("\x1f\x1f"), "id")))
     keyed = materialise(keyed.select("seq", "id", "key", "score"), "candidates")
     ends = edges.where("src <> dst").select("src", "dst")
     inner = ends.join(keyed.select(F.col("id").alias("src"), F.col("key").alias("k1")), "src").join(keyed.select(F.col("id").alias("dst"), F.col("key").alias("k2")), "dst").where("k1 = k2").select(F.col("k1").alias("key"), "src", "dst")
@@ -65,6 +67,15 @@ def collapse_duplicates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     return into, moved.groupBy("type", "src", "dst", "block_id").agg(F.min("id").alias("id"))
 
 
+def folded_tags(nodes: DataFrame, into: DataFrame) -> DataFrame:
+    """``survivor, tags``: the survivor's tags, then those of what it took in, in order of ``seq``, each once. ``nodes(seq, id, tags)``."""
+    at = nodes.join(into, "id").select("survivor", F.struct((F.col("id") != F.col("survivor")).alias("other"), "seq").alias("turn"), F.posexplode("tags").alias("pos", "tag"))
+    first = at.groupBy("survivor", "tag").agg(F.min(F.struct("turn", "pos")).alias("at"))
+    # a survivor's distinct tags: as many as there are tags, not candidates
+    listed = first.groupBy("survivor").agg(F.sort_array(F.collect_list(F.struct("at", "tag"))).alias("found"))
+    return listed.select("survivor", F.col("found.tag").alias("tags"))
+
+
 def evidence(pairs: DataFrame, jaccard: DataFrame, vetoes: DataFrame, fuzzy: Column, floor: float = 0.25) -> DataFrame:
     """``a, b, evidence ARRAY, corroborated`` for canonical and variant titles ``a, b, ta, tb``.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.functions import vocabulary as V
+from quillgraph.operators import gates
 from quillgraph.operators.retrieve import degrees, neighbours
 from quillgraph.runtime import materialise
 
@@ -47,13 +50,15 @@ def capped_neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: i
     return k_hop(seeds, edges, hops).withColumn("__n", place).where(F.col("__n") <= limit).drop("__n")
 
 
-def bridge_claims(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, min_confidence: float = 0.0) -> DataFrame:
+def bridge_claims(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, min_confidence: float = 0.0, allowed: Iterable[str] | None = None, similarity: DataFrame | None = None) -> DataFrame:
     """``seed, id, coverage, confidence, rank``: for each seed entity the ``cap`` claims that mention it and answer best.
 
-    ``claims(id, s, p, o_id, o_literal, confidence)``, ``terms(seed, term)``. A claim is worth the inverse frequencies,
-    within its seed's claims, of the terms that it covers; ties go by confidence, then id.
+    ``claims(id, s, p, o_id, o_literal, confidence)``, ``terms(seed, term)``. Claims that the gates or the ``allowed``
+    predicates hold back count for nothing. A claim is worth the inverse frequencies, within its seed's claims, of
+    the terms that it covers; ties go by confidence, by the cosine to the question (``similarity(seed, id, cosine)``,
+    where given), then id.
     """
-    ends = claims.where(F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)) >= min_confidence).select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("seed"))
+    ends = claims.where(gates.passes(claims) & gates.predicate_allowed(F.col("p"), allowed)).where(F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)) >= min_confidence).select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("seed"))
     pool = ends.join(seeds.select("seed").distinct(), "seed")
     size = pool.groupBy("seed").agg(F.count("*").alias("n"))
     text = F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit("")))
@@ -62,11 +67,15 @@ def bridge_claims(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: in
     covered = covered.join(covered.groupBy("seed", "term").agg(F.count("*").alias("df")).join(size, "seed"), ["seed", "term"])
     scores = covered.groupBy("seed", "id").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
     ranked = pool.join(scores, ["seed", "id"], "left").select("seed", "id", "s", "p", "o_id", "o_literal", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)).alias("confidence"))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("coverage").desc(), F.col("confidence").desc(), "id"))
-    return ranked.withColumn("rank", place).where(F.col("rank") <= cap)
+    order = [F.col("coverage").desc(), F.col("confidence").desc()]
+    if similarity is not None:
+        ranked = ranked.join(similarity, ["seed", "id"], "left")
+        order.append(F.coalesce("cosine", F.lit(0.0)).desc())
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(*order, "id"))
+    return ranked.withColumn("rank", place).where(F.col("rank") <= cap).drop("cosine")
 
 
-def ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, hops: int = 1) -> DataFrame:
+def ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, hops: int = 1, allowed: Iterable[str] | None = None) -> DataFrame:
     """Rows of each seed's ego graph: ``seed, hop, id, s, p, o_id, o_literal, coverage, confidence``; a fact once, in its first hop.
 
     Each level takes ``cap`` claims for every entity at its frontier, and the entities that these name are the next
@@ -76,7 +85,7 @@ def ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, h
     for hop in range(1, hops + 1):
         asked = frontier.select(F.col("entity").alias("seed")).distinct()
         words = frontier.join(terms, "seed").select(F.col("entity").alias("seed"), "term").distinct()
-        found = bridge_claims(claims, asked, words, cap).withColumnRenamed("seed", "entity")
+        found = bridge_claims(claims, asked, words, cap, allowed=allowed).withColumnRenamed("seed", "entity")
         rows = frontier.join(found, "entity").withColumn("hop", F.lit(hop))
         rows = materialise(rows.drop("entity", "rank"), f"ego-{hop}")
         out = rows if out is None else out.unionByName(rows)

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
+from quillgraph.functions import udfs
 from quillgraph.functions import vocabulary as V
+from quillgraph.operators import gates
 
 
 def surface_layer(nodes: DataFrame) -> DataFrame:
     """One row: nodes, groups of one type with the same key, keys under several types, low-value and generic titles."""
-    keyed = nodes.select("type", C.ascii_surface_key(F.col("title")).alias("key"), C.is_low_value_title(F.col("title")).alias("low"), C.is_generic_title(F.col("title")).alias("generic"))
+    keyed = nodes.select("type", udfs.surface_key(F.col("title")).alias("key"), C.is_low_value_title(F.col("title")).alias("low"), C.is_generic_title(F.col("title")).alias("generic"))
     by_type = keyed.groupBy("key", "type").agg(F.count("*").alias("n"), F.sum(F.col("low").cast("long")).alias("low"), F.sum(F.col("generic").cast("long")).alias("generic"))
     by_key = by_type.groupBy("key").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 1).cast("long")).alias("same"), F.count("*").alias("types"), F.sum("low").alias("low"), F.sum("generic").alias("generic"))
     return by_key.agg(F.sum("n").alias("n_nodes"), F.sum("same").alias("duplicate_groups"), F.sum((F.col("types") > 1).cast("long")).alias("conflict_groups"), F.sum("low").alias("low_value"), F.sum("generic").alias("generic"))
@@ -29,11 +31,15 @@ def predicate_layer(claims: DataFrame, registered: tuple[str, ...] = V.CORE_PRED
 
 
 def relation_layer(claims: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: claims with an object, those without their edge, edges without a claim, claims with a dead end, nodes without any edge."""
-    tied = claims.where("o_id IS NOT NULL").select(F.col("s").alias("src"), F.col("p").alias("type"), F.col("o_id").alias("dst"))
+    """One row: claims with an object, those without their edge, edges without a claim, claims with a dead end, nodes without any edge.
+
+    Superseded claims aren't counted, but still account for the edges that they left.
+    """
+    said = claims.where("o_id IS NOT NULL").select(F.col("s").alias("src"), F.col("p").alias("type"), F.col("o_id").alias("dst"), gates.is_superseded(claims).alias("old"))
+    tied = said.where("NOT old").drop("old")
     lines, ids = edges.select("src", "type", "dst"), nodes.select("id")
     lost = tied.join(lines, ["src", "type", "dst"], "left_anti").agg(F.count("*").alias("claims_without_edge"))
-    bare = lines.join(tied.select("type").distinct(), "type", "left_semi").join(tied, ["src", "type", "dst"], "left_anti").agg(F.count("*").alias("edges_without_claim"))
+    bare = lines.join(said.select("type").distinct(), "type", "left_semi").join(said, ["src", "type", "dst"], "left_anti").agg(F.count("*").alias("edges_without_claim"))
     dead = tied.select(F.explode(F.array("src", "dst")).alias("id")).join(ids, "id", "left_anti").agg(F.count("*").alias("dead_ends"))
     alone = ids.join(edges.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti").agg(F.count("*").alias("isolated"))
     total = tied.agg(F.count("*").alias("relation_claims"))

@@ -6,15 +6,19 @@ collected; lists are ranked with explicit ties (smaller id first).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.functions import vocabulary as V
+from quillgraph.operators import gates
 from quillgraph.runtime import materialise
 
 
@@ -41,16 +45,17 @@ def bm25_stats(post: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(corpus: DataFrame, text: Column, queries: DataFrame, query_text: Column, k: int = 10) -> DataFrame:
     """``query_id, id, score, rank``: Okapi scores of the best ``k`` texts for each question.
 
-    The question terms are few beside the postings: they prune the postings to the terms asked for before anything
-    is shuffled by term, and frequencies are only counted for these.
+    Texts are cut into tokens once: the postings of the terms that are asked for are written, with one more row for
+    each text, from which the number of texts and their mean length come.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(C.search_tokens(query_text))).alias("term"))
-    wanted = asked.select("term").distinct()
-    tokens = corpus.select("id", C.search_tokens(text).alias("t")).where(F.size("t") > 0).select("id", "t", F.size("t").alias("dl"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    tokens = corpus.select("id", C.search_tokens(text).alias("t")).where(F.size("t") > 0).select("id", F.array_append("t", "").alias("t"), F.size("t").alias("dl"))
     post = tokens.select("id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    post = materialise(post, "postings")
+    size = post.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     # counted with partial sums in each task: a term of a third of all texts is one row for each task, not one group
-    frequency = post.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = post.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     hits = post.join(asked.join(frequency, "term"), "term").join(F.broadcast(size))  # one row
     length = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -58,17 +63,64 @@ def bm25(corpus: DataFrame, text: Column, queries: DataFrame, query_text: Column
     return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 
+#: Bytes of question vectors that go to every task at a time.
+VECTOR_BYTES = 32_000_000
+
+
+def _unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``dim`` numbers as unit rows, and their places; others, and those without a length, are left out."""
+    lengths = np.array(pa.compute.fill_null(pa.compute.list_value_length(vectors), -1))
+    at = np.flatnonzero(lengths == dim)
+    flat = pa.compute.list_flatten(vectors.take(pa.array(at)))
+    rows = np.array(flat.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(len(at), dim)
+    size = np.sqrt((rows * rows).sum(1))
+    fine = np.isfinite(size) & (size > 0)
+    return rows[fine] / size[fine][:, None], at[fine]
+
+
 def vector(corpus: DataFrame, queries: DataFrame, k: int | None = 10, same_type: bool = False, floor: float = 0.0) -> DataFrame:
-    """``query_id, id, score, rank`` by cosine of ``embedding``; only scores above ``floor``, within one ``type`` if asked.
+    """``query_id, id, score, rank`` by cosine of ``embedding``, times the column ``w`` if the corpus has one; only scores above ``floor``.
 
-    The stated query set meets every row in blocks: vectors are normalised once, so that a pair costs one product.
+    With ``same_type`` only within one ``type``. A stated set of questions meets every row in blocks: its vectors go
+    to the tasks, at most ``VECTOR_BYTES`` at a time and one pass over the corpus for each such part, a task
+    multiplies matrices, and with ``k`` it keeps the best ``k`` of its rows for each question. Without ``k`` every
+    pair above the floor is a row. Vectors of another length than the part's are left out.
     """
-    unit = lambda e: F.transform(e, lambda x: x.cast("double") / C.norm(e))
-    rows = corpus.where(C.norm(F.col("embedding")) > 0).select("id", unit(F.col("embedding")).alias("v"), *(["type"] if same_type else []))
-    asks = queries.where(C.norm(F.col("embedding")) > 0).select("query_id", unit(F.col("embedding")).alias("q"), *(["type"] if same_type else []))
-    pairs = rows.join(asks, "type") if same_type else rows.crossJoin(asks)
-    scored = pairs.select("query_id", "id", F.round(C.dot(F.col("v"), F.col("q")), 9).alias("score")).where(F.col("score") > floor)
-    return ranked(scored, k)
+    spark, weighted = corpus.sparkSession, "w" in corpus.columns
+    n, dim = queries.where(F.col("embedding").isNotNull()).agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-n * (dim or 1) * 8 // VECTOR_BYTES))
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((corpus, "id"), (queries, "query_id")))
+    rows = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding", *(["type"] if same_type else []), *(["w"] if weighted else []))
+    found = None
+    for part in range(parts):
+        asks = queries.where(F.col("embedding").isNotNull()).where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "embedding", *(["type"] if same_type else [])).toArrow().combine_chunks()
+        units, at = _unit_rows(asks.column("embedding").combine_chunks() if asks.num_rows else pa.array([], pa.list_(pa.float64())), dim or 1)
+        asks = asks.take(pa.array(at))
+        shared = spark.sparkContext.broadcast((units, asks.column("query_id").combine_chunks(), asks.column("type").to_pylist() if same_type else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            units, query_ids, types = shared.value
+            for batch in batches:
+                for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                    vectors, at = _unit_rows(piece.column("embedding"), units.shape[1])
+                    scores = vectors @ units.T
+                    if weighted:
+                        scores *= np.array(piece.column("w"))[at][:, None]
+                    scores = np.round(scores, 9)
+                    if types is not None:
+                        scores[np.array(piece.column("type").to_pylist(), dtype=object)[at][:, None] != np.array(types, dtype=object)[None, :]] = -np.inf
+                    if k and len(at) > k:
+                        # ties with the k-th stay: ids decide between them
+                        least = np.partition(scores, len(at) - k, axis=0)[len(at) - k]
+                        keep = (scores > floor) & (scores >= least[None, :])
+                    else:
+                        keep = scores > floor
+                    which, row = np.nonzero(keep.T)
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(which)), piece.column("id").take(pa.array(at[row])), pa.array(scores[row, which])], names=["query_id", "id", "score"])
+
+        scored = rows.mapInArrow(run, f"query_id {query_type}, id {id_type}, score double") if len(at) else spark.createDataFrame([], f"query_id {query_type}, id {id_type}, score double")
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, k)
 
 
 def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact: bool) -> DataFrame:
@@ -140,23 +192,28 @@ def fold_predicates(claims: DataFrame, aliases: DataFrame, column: str = "p") ->
     return claims.join(aliases, claims[column] == aliases["predicate"], "left").withColumn(column, F.coalesce("canonical", column)).drop("predicate", "canonical")
 
 
-def hybrid_recall(corpus: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 10, equivalence: DataFrame | None = None) -> DataFrame:
+def hybrid_recall(corpus: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 10, equivalence: DataFrame | None = None, vector_k: int | None = None) -> DataFrame:
     """The whole retriever: ``corpus(id, type, title, content, p, embedding)``, ``queries(query_id, text, embedding)``.
 
-    Five legs are fused, the best seeds lend to their neighbours, scores are weighted by quality, classes are folded,
-    and claims that answer a question come first. Returns ``query_id, id, score, rank``.
+    Five legs are fused, the best seeds lend to their neighbours, scores are weighted by quality, infrastructure,
+    superseded claims and raw blocks go (columns ``infra`` and ``superseded`` where the corpus has them), classes are
+    folded, and claims that answer a question come first. Returns ``query_id, id, score, rank``.
+
+    The vector leg ranks every node of a positive weighted cosine, so that nothing is out of reach; that writes a row
+    for each question and such node. ``vector_k`` bounds it for corpora where that is too much.
     """
     limit = max(k, V.LEAST_RESULTS)
     text = F.concat_ws(" ", "title", "content")
     legs = [title_legs(corpus, queries, F.col("text"), e) for e in (True, False)]
-    legs += [vector(corpus, queries, k=None), bm25(corpus, text, queries, F.col("text"), limit)]
+    weighted = corpus.withColumn("w", C.quality_weight(F.col("p"), F.col("title")))
+    legs += [vector(weighted, queries, k=vector_k), bm25(corpus, text, queries, F.col("text"), limit)]
     # each leg is computed once: the pool, the fusion and the answers read the written ranks
     found = reduce(DataFrame.unionByName, (leg.select("query_id", "id", "rank") for leg in legs))
     found = materialise(found, "legs")
     claims = corpus.where((F.col("type") == "Claim") & ~C.is_structural_claim(F.col("p"), F.col("title"))).select("id", text.alias("text"))
     answers = answer_leg(found.select("query_id", "id").distinct().join(claims, "id"), queries, F.col("text"))
     fused = one_hop(materialise(rrf(found, answers), "fused"), edges)
-    known = corpus.where("type <> 'Block'").select("id", C.quality_weight(F.col("p"), F.col("title")).alias("w"))
+    known = corpus.where(gates.recallable(corpus)).select("id", C.quality_weight(F.col("p"), F.col("title")).alias("w"))
     results = materialise(fused.join(known, "id").select("query_id", "id", (F.col("score") * F.col("w")).alias("score")), "results")
     if equivalence is not None:
         results = fold_equivalence(results, equivalence)

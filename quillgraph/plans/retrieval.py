@@ -95,10 +95,14 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where((F.col("query_id") != F.col("id")) & (F.col("score") >= V.SIMILAR_COSINE)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-# Documents as nodes: the title is the first ten characters, every third one is a claim; the vector is that of the same number.
+#: The first two words.
+TITLE = "^[^A-Za-z0-9]*([A-Za-z0-9]+(?:[^A-Za-z0-9]+[A-Za-z0-9]+)?)"
+
+# Documents as nodes: the title is the first two words, some are infrastructure or superseded, every third one is a claim; the vector is that of the same number.
 CORPUS_SQL = f"""
 corpus AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'Claim' ELSE 'Concept' END AS type, substr(coalesce(text, ''), 1, 10) AS title, coalesce(text, '') AS content,
+  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'Claim' ELSE 'Concept' END AS type, regexp_extract(coalesce(text, ''), '{TITLE}', 1) AS title, coalesce(text, '') AS content,
+    doc_id % 41 = 0 AS infra, doc_id % 43 = 0 AND doc_id % 3 = 0 AS superseded,
     CASE WHEN doc_id % 7 = 0 THEN 'tag' WHEN doc_id % 3 = 0 THEN 'says' END AS p, CAST(embedding AS DOUBLE[]) AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id
 ), asks AS (SELECT item_id AS query_id, coalesce(text, '') || '?' AS text, CAST(embedding AS DOUBLE[]) AS e FROM benchmark LEFT JOIN embeddings ON item_id = vec_id
 ), weight AS (
@@ -114,7 +118,7 @@ corpus AS (
 ), leg2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM titled
 ), unit AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM corpus WHERE list_inner_product(e, e) > 0
 ), qunit AS (SELECT query_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM asks WHERE list_inner_product(e, e) > 0
-), sims AS (SELECT query_id, id, round(list_inner_product(u.e, q.e), 9) AS score FROM unit u CROSS JOIN qunit q
+), sims AS (SELECT query_id, id, round(list_inner_product(u.e, q.e) * w, 9) AS score FROM unit u JOIN weight USING (id) CROSS JOIN qunit q
 ), leg3 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims WHERE score > 0
 ), {BM25_SQL.strip()}, leg4 AS (SELECT query_id, id, rank FROM bmr WHERE rank <= 20
 ), pool AS (SELECT query_id, id FROM leg1 UNION SELECT query_id, id FROM leg2 UNION SELECT query_id, id FROM leg3 UNION SELECT query_id, id FROM leg4
@@ -135,7 +139,7 @@ fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT quer
 links AS (SELECT DISTINCT id, CAST(CAST(id AS BIGINT) + 1 AS VARCHAR) AS other FROM corpus), both_ AS (SELECT id, other FROM links UNION SELECT other, id FROM links), deg AS (SELECT id AS other, count(*) AS degree FROM both_ GROUP BY id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fused) WHERE r <= 10),
 lent AS (SELECT query_id, b.other AS id, score * 0.5 / degree AS score FROM top JOIN both_ b USING (id) JOIN deg USING (other)),
-res AS (SELECT query_id, id, sum(score) * any_value(w) AS score FROM (SELECT query_id, id, score FROM fused UNION ALL SELECT * FROM lent) JOIN weight USING (id) GROUP BY ALL),
+res AS (SELECT query_id, id, sum(score) * any_value(w) AS score FROM (SELECT query_id, id, score FROM fused UNION ALL SELECT * FROM lent) JOIN weight USING (id) JOIN (SELECT id FROM corpus WHERE NOT infra AND NOT superseded) USING (id) GROUP BY ALL),
 {sql_answers("res", "fin")}
 SELECT query_id, id, round(score, 6) AS score, rank FROM (
   SELECT r.query_id, r.id, r.score, row_number() OVER (PARTITION BY r.query_id ORDER BY f.rank NULLS LAST, r.score DESC, r.id) AS rank FROM res r LEFT JOIN fin f USING (query_id, id)) WHERE rank <= 20"""
@@ -146,7 +150,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = C.text_or_empty(F.col("text"))
     kind = F.when(F.col("doc_id") % 3 == 0, "Claim").otherwise("Concept")
     p = F.when(F.col("doc_id") % 7 == 0, "tag").when(F.col("doc_id") % 3 == 0, "says")
-    return docs.join(vectors, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.substring(text, 1, 10).alias("title"), text.alias("content"), p.alias("p"), "embedding")
+    return docs.join(vectors, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.regexp_extract(text, TITLE, 1).alias("title"), text.alias("content"), p.alias("p"), "embedding", (F.col("doc_id") % 41 == 0).alias("infra"), (F.col("doc_id") % 129 == 0).alias("superseded"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +195,8 @@ def answer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector and lexical leg fused by rank."""
     corpus, asks = _corpus(spark, sf_dir), _questions(spark, sf_dir)
-    fused = retrieve.rrf(retrieve.vector(corpus, asks, None), retrieve.bm25(corpus, F.concat_ws(" ", "title", "content"), asks, F.col("text"), 20))
+    weighted = corpus.withColumn("w", C.quality_weight(F.col("p"), F.col("title")))
+    fused = retrieve.rrf(retrieve.vector(weighted, asks, None), retrieve.bm25(corpus, F.concat_ws(" ", "title", "content"), asks, F.col("text"), 20))
     return fused.select("query_id", "id", F.round("score", 9).alias("score"))
 
 

@@ -79,13 +79,19 @@ def one_hop_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EGO_SQL = f"""
 seeds AS (SELECT 'customer:' || c_custkey AS seed FROM customer), terms AS (SELECT seed, unnest(['placed', 'building']) AS term FROM seeds),
-ends AS (SELECT DISTINCT * FROM (SELECT c.*, s AS seed FROM claims c UNION ALL SELECT c.*, o_id FROM claims c WHERE o_id IS NOT NULL)),
+live AS (SELECT * FROM claims WHERE id >= '1' AND id < 'f'),
+ends AS (SELECT DISTINCT * FROM (SELECT c.*, s AS seed FROM live c UNION ALL SELECT c.*, o_id FROM live c WHERE o_id IS NOT NULL)),
 bpool AS (SELECT e.*, count(*) OVER (PARTITION BY seed) AS n FROM ends e JOIN seeds USING (seed)),
 cov AS (SELECT p.seed, p.id, n, term, count(*) OVER (PARTITION BY p.seed, term) AS df FROM bpool p JOIN terms t ON t.seed = p.seed AND list_contains({WORDS.format(x="concat_ws(' ', trim(lower(replace(p, '_', ' '))), coalesce(o_literal, ''))")}, term)),
 sc AS (SELECT seed, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))), 9) AS coverage FROM cov GROUP BY ALL),
 bridge AS (SELECT * FROM (SELECT p.seed, p.id, s, p, o_id, o_literal, coalesce(coverage, 0) AS coverage, confidence, row_number() OVER (PARTITION BY p.seed ORDER BY coalesce(coverage, 0) DESC, confidence DESC, p.id) AS rank FROM bpool p LEFT JOIN sc USING (seed, id)) WHERE rank <= 8)"""
 
 
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of which some, by their ids, are superseded (those that start with 0) or of low salience (with f)."""
+    return claims(spark, sf_dir).withColumn("superseded", F.col("id") < "1").withColumn("salience", F.when(F.col("id") >= "f", "low"))
+
+
 def _customer_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("seed"))
     return seeds, seeds.select("seed", F.explode(F.array(F.lit("placed"), F.lit("building"))).alias("term"))
@@ -95,14 +101,14 @@ def _customer_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def ego_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight claims about each customer that answer best."""
     seeds, terms = _customer_seeds(spark, sf_dir)
-    return graph.bridge_claims(claims(spark, sf_dir), seeds, terms, 8).select("seed", "id", F.round("coverage", 6).alias("coverage"), "confidence", F.col("rank").cast("long").alias("rank"))
+    return graph.bridge_claims(_gated(spark, sf_dir), seeds, terms, 8).select("seed", "id", F.round("coverage", 6).alias("coverage"), "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def ego_graph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's ego graph over two hops, four claims an entity: level by level, so brute force stands for SQL."""
     seeds, terms = _customer_seeds(spark, sf_dir)
-    return graph.ego_graph(claims(spark, sf_dir), seeds, terms, 4, 2).select("seed", "hop", "id", "s", "p", "o_id", "o_literal")
+    return graph.ego_graph(_gated(spark, sf_dir), seeds, terms, 4, 2).select("seed", "hop", "id", "s", "p", "o_id", "o_literal")
 
 
 @query(f"""WITH {CLAIMS_SQL}, {EGO_SQL}, c AS (SELECT *, CAST(floor(length('- ' || s || ' ' || trim(lower(replace(p, '_', ' '))) || ' ' || coalesce(o_id, o_literal)) / 4 * 1.117) AS INT) AS cost FROM bridge)
@@ -110,7 +116,7 @@ SELECT seed, id, spent FROM (SELECT seed, id, sum(cost) OVER (PARTITION BY seed
 def token_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims of each ego graph that fit a budget of 60 tokens."""
     seeds, terms = _customer_seeds(spark, sf_dir)
-    rows = graph.bridge_claims(claims(spark, sf_dir), seeds, terms, 8)
+    rows = graph.bridge_claims(_gated(spark, sf_dir), seeds, terms, 8)
     line = F.concat(F.lit("- "), F.col("s"), F.lit(" "), C.verbalized(F.col("p")), F.lit(" "), F.coalesce("o_id", "o_literal"))
     kept = graph.within_budget(rows.withColumn("cost", C.estimated_tokens(line)), "seed", [F.col("coverage").desc(), F.col("confidence").desc(), "id"], F.col("cost"), 60)
     return kept.select("seed", "id", "spent")
@@ -120,7 +126,7 @@ def token_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ego graph as text."""
     seeds, terms = _customer_seeds(spark, sf_dir)
-    return graph.rendered(graph.bridge_claims(claims(spark, sf_dir), seeds, terms, 8), "seed")
+    return graph.rendered(graph.bridge_claims(_gated(spark, sf_dir), seeds, terms, 8), "seed")
 
 
 # Every tenth customer is the canonical of its nine followers.
@@ -399,11 +405,12 @@ def predicate_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicate_layer(claims(spark, sf_dir))
 
 
-@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, {CLAIMS_SQL}, t AS (SELECT s AS src, p AS type, o_id AS dst FROM claims WHERE o_id IS NOT NULL)
-SELECT (SELECT count(*) FROM t) AS relation_claims, (SELECT count(*) FROM t ANTI JOIN edges USING (src, type, dst)) AS claims_without_edge, (SELECT count(*) FROM edges WHERE type IN (SELECT type FROM t) AND (src, type, dst) NOT IN (SELECT src, type, dst FROM t)) AS edges_without_claim,
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, {CLAIMS_SQL}, said AS (SELECT s AS src, p AS type, o_id AS dst, id < '1' AS old FROM claims WHERE o_id IS NOT NULL), t AS (SELECT src, type, dst FROM said WHERE NOT old)
+SELECT (SELECT count(*) FROM t) AS relation_claims, (SELECT count(*) FROM t ANTI JOIN edges USING (src, type, dst)) AS claims_without_edge, (SELECT count(*) FROM edges WHERE type IN (SELECT type FROM said) AND (src, type, dst) NOT IN (SELECT src, type, dst FROM said)) AS edges_without_claim,
 (SELECT count(*) FROM (SELECT src AS i FROM t UNION ALL SELECT dst FROM t) WHERE i NOT IN (SELECT id FROM nodes)) AS dead_ends, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS isolated""")
 def relation_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.relation_layer(claims(spark, sf_dir), edges(spark, sf_dir), nodes(spark, sf_dir))
+    """Relation claims against edges; some claims are superseded."""
+    return quality.relation_layer(_gated(spark, sf_dir), edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
 @query("""WITH b AS (SELECT 'identities' AS dimension, CAST(o_custkey AS VARCHAR) AS member FROM orders WHERE o_orderstatus = 'F' UNION SELECT 'relations', o_custkey || ':' || o_orderpriority FROM orders WHERE o_orderstatus = 'F'),
