@@ -152,6 +152,24 @@ def test_quality_held_out(spark):
     assert same.exceptAll(quality_scores(docs, model).select("doc_id", "score")).isEmpty()
 
 
+def test_discriminant_against_densities():
+    """Scores by a formula of their own: covariances by hand, densities by solving and by determinants."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.2], [0, 0, 2]]), rng.normal(1, 0.5, (200, 3))])
+    y = np.repeat([0, 1], [300, 200])
+    pool, ridge, prior = 0.1, 0.02, 0.4
+    covs = [sum(np.outer(r - x[y == c].mean(0), r - x[y == c].mean(0)) for r in x[y == c]) / ((y == c).sum() - 1) for c in (0, 1)]
+    pooled = (300 * covs[0] + 200 * covs[1]) / 500
+    densities = []
+    for c in (0, 1):
+        cov = (1 - pool) * covs[c] + pool * pooled
+        cov = (1 - ridge) * cov + ridge * np.trace(cov) / 3 * np.eye(3)
+        far = x - x[y == c].mean(0)
+        densities.append(np.exp(-0.5 * (far * np.linalg.solve(cov, far.T).T).sum(1)) / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(cov)))
+    want = prior * densities[1] / (prior * densities[1] + (1 - prior) * densities[0])
+    assert Discriminant.fit(x, y, prior, pool, ridge).scores(x) == pytest.approx(want, abs=1e-9)
+
+
 def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame(ODD, KIND)
     labels = spark.createDataFrame([(4, None, None), (7, 1, 0), (7, 0, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
