@@ -23,6 +23,7 @@ def census(nodes: DataFrame) -> DataFrame:
 def top_subgraph(nodes: DataFrame, edges: DataFrame, limit: int, min_degree: int = 0) -> tuple[DataFrame, DataFrame]:
     """The ``limit`` nodes of the highest degree among edges with both ends visible, and the edges between them."""
     visible = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    visible = materialise(visible, "visible-edges")
     ranked = nodes.select("id").join(degrees(visible), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") >= min_degree)
     kept = ranked.orderBy(F.col("degree").desc(), "id").limit(limit)
     ids = F.broadcast(kept.select("id"))  # at most ``limit`` rows
@@ -32,7 +33,7 @@ def top_subgraph(nodes: DataFrame, edges: DataFrame, limit: int, min_degree: int
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``seed, id, hop``: every node within ``hops`` undirected steps of each seed, with its least distance."""
-    near = neighbours(edges)
+    near = materialise(neighbours(edges), "near")
     seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):

@@ -53,9 +53,17 @@ def detached_claims(claims: DataFrame, diffs: DataFrame) -> DataFrame:
 
 
 def superseded(claims: DataFrame, new: DataFrame, valid_as_of: str) -> DataFrame:
-    """Claims ``id, s, p, o, valid_until``: those that a new claim (``id, s, p, o``) contradicts end at the date and name the smallest that does."""
-    over = claims.alias("c").join(new.alias("n"), ["s", "p"]).where("c.o <> n.o AND c.id <> n.id").groupBy(F.col("c.id").alias("id")).agg(F.min("n.id").alias("superseded_by"))
-    out = claims.join(over, "id", "left")
+    """Claims ``id, s, p, o, valid_until``: those that a new claim (``id, s, p, o``) contradicts end at the date and name the smallest that does.
+
+    Of the new claims under a subject and predicate only two can be that: the smallest of all, and the smallest that
+    says something else than it. So each old claim meets one row, however many contradict it.
+    """
+    ids = new.groupBy("s", "p", "o").agg(F.min("id").alias("n"))
+    first = ids.groupBy("s", "p").agg(F.min(F.struct("n", "o")).alias("first"))
+    second = ids.join(first, ["s", "p"]).where(F.col("o") != F.col("first.o")).groupBy("s", "p").agg(F.min("n").alias("second"))
+    known = claims.join(first.join(second, ["s", "p"], "left"), ["s", "p"], "left")
+    by = F.when(F.col("o") != F.col("first.o"), F.col("first.n")).when(F.col("o") == F.col("first.o"), F.col("second"))
+    out = known.withColumn("superseded_by", by).select(*claims.columns, "superseded_by")
     return out.withColumn("valid_until", F.when(F.col("superseded_by").isNotNull() & F.col("valid_until").isNull(), F.lit(valid_as_of).cast("date")).otherwise(F.col("valid_until")))
 
 

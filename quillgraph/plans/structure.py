@@ -11,6 +11,7 @@ from quillgraph.functions import vocabulary as V
 from quillgraph.operators import detect, graph, integrity, ledger, predicates, quality, resolve, retrieve
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.registry import ORACLE, query
+from quillgraph.runtime import materialise
 from quillgraph.sources.tables import CLAIMS_SQL, EDGES_SQL, NODES_SQL, claims, edges, nodes, table
 
 KEY = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -216,7 +217,7 @@ UNION ALL SELECT 'content_addressed_id_mismatch' FROM bad WHERE id <> sha256('ed
 SELECT code, count(*) AS n FROM k GROUP BY code""")
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues of the damaged graph by code."""
-    n, e = nodes(spark, sf_dir), _damaged(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), materialise(_damaged(spark, sf_dir), "damaged-edges")
     return integrity.audit(integrity.missing_endpoints(e, n), integrity.wrong_edge_ids(e), integrity.duplicate_ids(n, "duplicate_node_id"), integrity.unwritable_types(n, ("Agent", "Activity", "Place")))
 
 
