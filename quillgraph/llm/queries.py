@@ -56,7 +56,7 @@ def op4_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL with the rule that fits and the verdict."""
+    """Every page's URL with the rule that fits and the verdict. The SQL knows no escapes and only ASCII letters; the tables hold no other URLs."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

@@ -264,6 +264,14 @@ def test_word_buckets_mark_prefixes():
         ("x://cheapest-pillsbury.test", ("cheapest-pillsbury.test", "", None, "allow")),
         ("x://spammer.test/spam", ("spammer.test", "/spam", None, "block")),
         ("://?a://b/c", ("", "", None, "allow")),
+        ("x://a.test/%70orn", ("a.test", "/%70orn", None, "block")),
+        ("x://a.test/buy%20viagra%20now", ("a.test", "/buy%20viagra%20now", None, "block")),
+        ("x://a.test/%2570orn", ("a.test", "/%2570orn", None, "allow")),
+        ("x://a.test/100%casino%zz%ff", ("a.test", "/100%casino%zz%ff", None, "block")),
+        ("x://a.test/éporn", ("a.test", "/éporn", None, "allow")),
+        ("x://a.test/PORN!", ("a.test", "/PORN!", None, "block")),
+        ("x://xn--porn-epa.test/", ("xn--porn-epa.test", "/", None, "block")),
+        ("x://xn--.test/casino", ("xn--.test", "/casino", None, "block")),
     ],
 )
 def test_urls(url, want):
@@ -273,6 +281,23 @@ def test_urls(url, want):
     assert host_and_path(url) == want[:2]
 
 
+def test_url_vocabulary_from_a_table(spark):
+    from quillgraph.llm.url_filter import readable, vocabulary
+
+    rows = [(" Loans", "soft", 0.5), ("loans", "soft", None), ("bets", "soft", None), ("bets", "strict", 2.0), ("free", "soft", None), ("", "soft", 1.0), (None, "strict", 1.0), ("other", "odd", 1.0)]
+    table = spark.createDataFrame(rows, "term string, kind string, weight double")
+    strict, soft = vocabulary(table)
+    assert (strict, soft) == (("bets",), {"free": 1.0, "loans": 0.5})
+    with pytest.raises(ValueError, match="at most 2"):
+        vocabulary(table, most=2)
+    assert vocabulary(table.limit(0)) == ((), {})
+    urls = spark.createDataFrame([("x://a/free-loans",), ("x://a/free-free",), ("x://a/bets",), ("x://a/" + "free" * 100_000 + "/loans",)] * 2, "url string")
+    judged = judge_urls(urls, rules=(), strict=strict, soft=soft, weight_needed=1.5).collect()
+    assert [(r.verdict, r.n_strict, r.n_soft, r.soft_weight) for r in judged] == [("block", 0, 2, 1.5), ("allow", 0, 1, 1.0), ("block", 1, 0, 0.0), ("allow", 0, 1, 0.5)] * 2
+    assert {r.verdict for r in judge_urls(urls, rules=(), strict=(), soft=soft, weight_needed=2).collect()} == {"allow"}
+    assert readable("X://" + "bücher".encode("punycode").decode().join(["xn--", ".test"]) + "/A%C3%A9") == "x://bücher.test/aé"
+
+
 def test_urls_keep_columns(spark):
     df = spark.createDataFrame([("http://a.com/en/1", "old"), (None, None)], "url string, host string")
     assert [tuple(r)[:4] for r in judge_urls(df).collect()] == [("http://a.com/en/1", "a.com", "/en/1", "com/en/"), (None, "", "", None)]
