@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.divergence import source_divergence
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.filter_audit import document_failures, filter_audit
 from quillgraph.llm.html_extract import extract_main_text
 from quillgraph.llm.line_dedup import line_dedup
 from quillgraph.llm.lm_scoring import lm_scores
 from quillgraph.llm.mixing import mix
 from quillgraph.llm.near_dedup import near_duplicates
 from quillgraph.llm.quality import fit_quality, quality_scores
+from quillgraph.llm.topk_search import build_index, search
 from quillgraph.llm.toxicity import fit_toxicity, toxicity_scores
 from quillgraph.llm.url_filter import RULES, SOFT_TERMS, STRICT_TERMS, judge_urls
 from quillgraph.runtime import spread
@@ -88,6 +91,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, items).drop("items")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters takes, for every source, order of the filters and step."""
+    failures = document_failures(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    audit = filter_audit(failures, "ABCDE", ("good", "toxic"))
+    return audit.withColumnsRenamed({"lost_good": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's distance to each other of its language, and the terms that set it apart from the language."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every vector whose id is divisible by 50, over all other vectors."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    questions = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return search(build_index(vectors), questions, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
@@ -99,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_topk_search": op13_topk_search,
 }
 
 #: Further settings of an operator, registered beside its query.
@@ -193,4 +218,53 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT coalesce(source, '') AS part, coalesce(text, '') AS t, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT) + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS fails
+  FROM d LEFT JOIN m USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM l a JOIN l b ON b.letter <> a.letter JOIN l c ON c.letter NOT IN (a.letter, b.letter)
+  JOIN l d ON d.letter NOT IN (a.letter, b.letter, c.letter) JOIN l e ON e.letter NOT IN (a.letter, b.letter, c.letter, d.letter)
+), s AS (
+  SELECT filter_order, CAST(step AS INT) AS step, bit,
+    CAST((SELECT coalesce(sum(b.bit), 0) FROM l b WHERE strpos(filter_order, b.letter) < step) AS INT) AS before FROM o CROSS JOIN range(1, 6) r(step) JOIN l ON l.letter = substr(filter_order, step, 1)
+), x AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit) AS shapley FROM x""",
+    "op12_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (SELECT r, lang, source, unnest(ws) AS term FROM d
+), v AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN v USING (lang, term) GROUP BY ALL
+), l AS (SELECT lang, count(*) AS V, sum(total) AS N FROM v GROUP BY lang
+), g AS (SELECT d.lang, d.source, coalesce(any_value(x.N), 0) AS N FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS N FROM c GROUP BY ALL) x USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.N + 2 * l.V) AS p, 1 + (1000000000::HUGEINT * (total + 2)) // (l.N + 2 * l.V) AS q
+  FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op13_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
