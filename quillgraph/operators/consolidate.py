@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import columns as C
 from quillgraph.functions import udfs
 from quillgraph.functions import vocabulary as V
-from quillgraph.operators import resolve
+from quillgraph.operators import resolve, retrieve
 from quillgraph.runtime import materialise
 
 
@@ -181,13 +181,14 @@ def lexical_aliases(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 def judged(candidates: DataFrame, stored: DataFrame, same: Column, band: float = V.SIMILAR_COSINE, k: int = 3, cap: int = 5) -> DataFrame:
     """``candidate_id, node_id``: the first stored node, in order of likeness, that the judge (a column over both rows) calls the same.
 
-    ``candidates`` and ``stored`` have ``id, type, title, embedding`` (unit vectors). At most ``k`` come from the vector
+    ``candidates`` and ``stored`` have ``id, type, title, embedding``. At most ``k`` come from the vector
     band, and of all others that the lanes of names propose the ``cap`` best by score and id; the judge sees no others.
     """
     left, right = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "type", "title", "embedding")]) for df, p in ((candidates, "c"), (stored, "n")))
-    near = left.join(right, F.col("c_type") == F.col("n_type")).withColumn("score", F.round(C.dot(F.col("c_embedding"), F.col("n_embedding")), 9)).where(F.col("score") >= band)
     rank = lambda order: F.row_number().over(Window.partitionBy("c_id").orderBy(*order))
-    near = near.withColumn("r", rank([F.col("score").desc(), "n_id"])).where(F.col("r") <= k)
+    # scores have nine decimals, so that above the floor means at the band or above
+    near = retrieve.vector(stored.select("id", "type", "embedding"), candidates.select(F.col("id").alias("query_id"), "type", "embedding"), k, same_type=True, floor=band - 5e-10)
+    near = near.select(F.col("query_id").alias("c_id"), F.col("id").alias("n_id"), "score", F.col("rank").alias("r")).join(left, "c_id").join(right, "n_id")
     named = lexical_aliases(candidates, stored).join(near.select("c_id", "n_id"), ["c_id", "n_id"], "left_anti")
     named = named.withColumn("r", rank([F.col("score").desc(), "n_id"])).where(F.col("r") <= cap).join(left, "c_id").join(right, "n_id")
     both = near.withColumn("lane", F.lit(0)).unionByName(named.withColumn("lane", F.lit(1))).where(same)

@@ -16,7 +16,7 @@ from quillgraph.functions import columns as C
 from quillgraph.functions import udfs
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators import gates
-from quillgraph.operators.components import connected_components
+from quillgraph.runtime import materialise
 
 #: Relationships that keep look-alikes apart come first where only some are shown.
 DISTINGUISHING = ("alias_of", "different_from", "distinguished_from", "not_same_as")
@@ -252,13 +252,58 @@ def alias_score(left: Column, right: Column) -> Column:
     return F.when((a == "") | (b == "") | (a == b), F.lit(None).cast("double")).when(F.coalesce(bases | surname | contained, F.lit(False)), 1.0).when(near, likeness)
 
 
-def within_batch(pairs: DataFrame, order: DataFrame, confidence: float = 0.85) -> DataFrame:
-    """``id, survivor``: candidates of a batch (``id, seq``) that a judge holds to be one: each folds into the first of its class.
+def within_batch(pairs: DataFrame, order: DataFrame, confidence: float = 0.85, edges: DataFrame | None = None, apart: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """``id, survivor``: candidates of a batch (``id, seq``), each folded into an earlier one that is still its own, or left as it is.
 
-    ``pairs(a, b, same BOOLEAN, confidence)`` are the judged ones; those below ``confidence`` count for nothing.
+    ``pairs(a, b, same BOOLEAN, confidence[, score])`` are what the lanes propose, with the judge's answer. In order of
+    ``seq`` a candidate meets, of its pairs with earlier candidates that were *not* folded, the ``k`` best by
+    ``score`` (then the earlier one), and folds into the first that the judge calls the same at ``confidence`` or more. An edge
+    (``src, dst``) between it and the other, or anything folded into the other before, keeps them apart; so does a pair of ``apart`` (``a, b``), for itself.
+
+    A candidate waits only for what can change its own outcome, so all that don't depend on each other are
+    decided in one round: who surely folds, wherever to, holds up nobody. The result is that of the loop in order.
+
+    * Nulls: a pair with a null answer, confidence or end isn't the same; a null score is 0. Repeated pairs count by their best score, then the surest answer.
+    * Equal ``seq`` go by id, a repeated id has its first; pairs and edges of unknown ids, and loops, count for nothing. No candidates give no rows.
     """
-    links = pairs.where(F.col("same") & (F.col("confidence") >= confidence)).select("a", "b")
-    classes = connected_components(links)
-    first = classes.join(order, "id").groupBy("component").agg(F.min_by("id", "seq").alias("survivor"))
-    folded = classes.join(first, "component").select("id", "survivor")
-    return order.select("id").join(folded, "id", "left").select("id", F.coalesce("survivor", "id").alias("survivor"))
+    order = materialise(order.groupBy("id").agg(F.min("seq").alias("seq")), "batch-order")
+    place = lambda c: order.select(F.col("id").alias(c), F.struct("seq", "id").alias(f"at_{c}"))
+    score = F.coalesce(F.col("score"), F.lit(0.0)) if "score" in pairs.columns else F.lit(0.0)
+    accept = F.coalesce(F.col("same") & (F.col("confidence") >= confidence), F.lit(False))
+    both = pairs.select("a", "b", score.cast("double").alias("score"), accept.alias("accept")).join(place("a"), "a").join(place("b"), "b").where("a <> b")
+    early = F.col("at_a") < F.col("at_b")
+    both = both.select(*(F.when(early, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), F.when(early, F.col("at_a")).otherwise(F.col("at_b")).alias("at"), "score", "accept")
+    met = both.groupBy("a", "b").agg(F.max(F.struct("score", "accept")).alias("best"), F.first("at").alias("at")).select("a", "b", "at", "best.score", "best.accept")
+    ends = None
+    if edges is not None:
+        ends = edges.select(F.col("src").alias("b"), F.col("dst").alias("c")).unionByName(edges.select(F.col("dst").alias("b"), F.col("src").alias("c"))).where("b <> c").distinct()
+        ends = materialise(ends, "batch-edges")
+        met = met.join(ends.withColumnRenamed("c", "a"), ["a", "b"], "left_anti")
+    if apart is not None:
+        met = met.join(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ["a", "b"], "left_anti")
+    met = materialise(met, "batch-pairs")
+    # what may lie in the other's closure and is tied to the candidate: decided before it, or it waits
+    tied = None
+    if ends is not None:
+        others = met.select("a", F.col("b").alias("c"))
+        tied = met.select("a", "b").join(ends, "b").join(others, ["a", "c"]).join(place("b"), "b").join(place("c"), "c").where("at_c < at_b").select("a", "b", "c")
+        tied = materialise(tied, "batch-ties")
+    waiting = met.where("accept").select(F.col("b").alias("id")).distinct()
+    state = materialise(order.select("id").join(waiting.withColumn("w", F.lit(True)), "id", "left").select("id", F.when(F.col("w").isNull(), F.col("id")).alias("survivor"), F.lit(False).alias("folds")), "batch-state")
+    while not state.where("survivor IS NULL").isEmpty():
+        known = state.select(F.col("id").alias("a"), F.col("survivor").alias("sa"), F.col("folds").alias("fa"))
+        # of the pairs of those that wait: with whom is or may be a survivor
+        rows = met.join(state.where("survivor IS NULL").select(F.col("id").alias("b")), "b", "left_semi").join(known, "a").where("(sa IS NULL AND NOT fa) OR sa = a")
+        rows = rows.withColumn("open", F.col("sa").isNull())
+        if tied is not None:
+            barred = tied.join(state.select(F.col("id").alias("c"), F.col("survivor").alias("sc")), "c").groupBy("a", "b").agg(F.max(F.coalesce(F.col("sc") == F.col("a"), F.lit(False))).alias("barred"), F.max(F.col("sc").isNull()).alias("unsure"))
+            rows = rows.join(barred, ["a", "b"], "left").where("NOT coalesce(barred, false)").withColumn("open", F.col("open") | F.coalesce("unsure", F.lit(False)))
+        # a pair that is taken matters if fewer than k that aren't come before it: surely few, or perhaps
+        before = Window.partitionBy("b").orderBy(F.col("score").desc(), "at").rowsBetween(Window.unboundedPreceding, -1)
+        count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0))
+        rows = rows.withColumn("least", count(~F.col("accept") & ~F.col("open"))).withColumn("most", count(~F.col("accept"))).where(F.col("accept") & (F.col("least") < k))
+        told = rows.withColumn("sure", ~F.col("open") & (F.col("most") < k)).groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct("sure", "a"), F.struct(-F.col("score"), F.col("at"))).alias("first"), F.max("sure").alias("sure"))
+        after = state.where("survivor IS NULL").join(told, "id", "left")
+        after = after.select("id", F.when(F.col("first").isNull(), F.col("id")).when(F.col("first.sure"), F.col("first.a")).alias("survivor"), (F.col("folds") | F.coalesce("sure", F.lit(False))).alias("folds"))
+        state = materialise(state.where("survivor IS NOT NULL").unionByName(after), "batch-state")
+    return state.select("id", "survivor")
