@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vocabulary as V
 
-PUNCTUATION_ENDS = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+#: ASCII punctuation at either end of a token: beside white space or an end of the text.
+PUNCTUATION_ENDS = r"(?<!\S)[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+(?!\S)"
 
 
 def text_or_empty(value: Column) -> Column:
@@ -19,8 +20,8 @@ def text_or_empty(value: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Tokens of the lexical index: split at white space, lower-cased, without ASCII punctuation at the ends, none empty."""
-    parts = F.split(F.lower(text_or_empty(text)), r"\s+")
-    return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, PUNCTUATION_ENDS, "")), lambda t: t != "")
+    # one pass over the whole text, in compiled code, instead of one for each token
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text_or_empty(text)), PUNCTUATION_ENDS, ""), r"\s+"), "")
 
 
 def word_tokens(text: Column) -> Column:

@@ -13,6 +13,7 @@ GENERIC_TITLES = ("doc", "file", "image", "link", "pdf", "url")
 GENERIC_TOKENS = ("and", "dept", "group", "inc", "llc", "ltd", "of", "team", "the")
 COMPANY_SUFFIXES = ("books", "co", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "ltd", "plc", "press", "publisher", "publishers", "publishing")
 PRIMITIVE_TYPES = ("Activity", "Agent", "Concept", "InformationObject", "Place")
+SUPPORT_TYPES = ("Annotation", "Block", "Claim", "Document", "Finding", "Identifier")
 VETO_PREDICATES = ("different_from", "distinguished_from", "not_same_as")
 PLACEHOLDER_PREDICATES = ("", "n/a", "na", "none", "null", "undefined", "unknown")
 PLACEHOLDER_LABELS = ("n_a", "na", "none", "null", "undefined", "unknown")

@@ -31,8 +31,9 @@ def ranked(df: DataFrame, k: int | None = None, group: Sequence[str] = ("query_i
 
 def postings(corpus: DataFrame, text: Column) -> DataFrame:
     """``id, term, tf, dl``: one row for each distinct token of a text. Counted within the row, so nothing is shuffled."""
-    tokens = corpus.select("id", C.search_tokens(text).alias("t")).where(F.size("t") > 0).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # no filter on the array or its size: it would be pushed to the scan and cut each text once more
+    tokens = corpus.select("id", C.search_tokens(text).alias("t")).select("id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    return tokens.where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25_stats(post: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +51,11 @@ def bm25(corpus: DataFrame, text: Column, queries: DataFrame, query_text: Column
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(C.search_tokens(query_text))).alias("term"))
     wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    tokens = corpus.select("id", C.search_tokens(text).alias("t")).where(F.size("t") > 0).select("id", F.array_append("t", "").alias("t"), F.size("t").alias("dl"))
-    post = tokens.select("id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tokens = corpus.select("id", C.search_tokens(text).alias("t")).select("id", F.size("t").alias("dl"), F.array_append("t", "").alias("t"))
+    # the marker makes every array one that yields rows; said with explode_outer, so that no filter on its size cuts the text again
+    post = tokens.select("id", "dl", F.explode_outer("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     post = materialise(post, "postings")
-    size = post.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    size = post.where("term = '' AND dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     # counted with partial sums in each task: a term of a third of all texts is one row for each task, not one group
     frequency = post.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     hits = post.join(asked.join(frequency, "term"), "term").join(F.broadcast(size))  # one row
@@ -141,15 +143,30 @@ def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact:
     return ranked(met.select("query_id", "id", F.round(score, 9).alias("score")))
 
 
-def answer_leg(pool: DataFrame, queries: DataFrame, query_text: Column) -> DataFrame:
-    """Claims of each question's pool (``query_id, id, text``) by the inverse frequencies, within the pool, of the question's terms that they cover."""
-    asks = queries.select("query_id", F.explode(C.question_terms(query_text)).alias("term"))
+def asked_terms(claims: DataFrame, queries: DataFrame, query_text: Column) -> tuple[DataFrame, DataFrame]:
+    """The questions' terms (``query_id, term``), and ``id, term`` for those that each of ``claims(id, text)`` holds, and a null for each claim; texts are cut once."""
+    asks = materialise(queries.select("query_id", F.explode(C.question_terms(query_text)).alias("term")), "asked-terms")
+    words = F.array_append(F.array_distinct(C.word_tokens(F.col("text"))), F.lit(None).cast("string"))
+    every = claims.select("id", words.alias("t")).select("id", F.explode_outer("t").alias("term"))
+    wanted = asks.select("term").distinct().withColumn("asked", F.lit(True))
+    held = every.join(wanted, "term", "left").where("asked OR term IS NULL").select("id", "term")
+    return asks, materialise(held, "claim-terms")
+
+
+def answer_ranks(pool: DataFrame, asks: DataFrame, held: DataFrame) -> DataFrame:
+    """Claims of each question's pool (``query_id, id``) by the inverse frequencies, within the pool, of the question's terms that they cover; only ids move."""
+    pool = pool.join(held.where("term IS NULL").select("id"), "id").select("query_id", "id")
     size = pool.groupBy("query_id").agg(F.count("*").alias("n"))
-    terms = pool.select("query_id", "id", F.explode(F.array_distinct(C.word_tokens(F.col("text")))).alias("term")).join(asks, ["query_id", "term"])
+    terms = materialise(asks.join(held, "term").join(pool, ["query_id", "id"]).select("query_id", "id", "term"), "pool-terms")
     frequency = terms.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(size, "query_id")
-    terms = terms.join(frequency, ["query_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return ranked(terms.groupBy("query_id", "id").agg(F.round(F.sum(idf), 9).alias("score")).where("score > 0"))
+    return ranked(terms.join(frequency, ["query_id", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(idf), 9).alias("score")).where("score > 0"))
+
+
+def answer_leg(pool: DataFrame, queries: DataFrame, query_text: Column) -> DataFrame:
+    """``answer_ranks`` of a pool with texts (``query_id, id, text``): each claim's text is cut once, however many questions it stands in."""
+    claims = pool.select("id", "text").dropDuplicates(["id"])
+    return answer_ranks(pool.select("query_id", "id").distinct(), *asked_terms(claims, queries, query_text))
 
 
 def rrf(*legs: DataFrame) -> DataFrame:
@@ -211,13 +228,14 @@ def hybrid_recall(corpus: DataFrame, queries: DataFrame, edges: DataFrame, k: in
     found = reduce(DataFrame.unionByName, (leg.select("query_id", "id", "rank") for leg in legs))
     found = materialise(found, "legs")
     claims = corpus.where((F.col("type") == "Claim") & ~C.is_structural_claim(F.col("p"), F.col("title"))).select("id", text.alias("text"))
-    answers = answer_leg(found.select("query_id", "id").distinct().join(claims, "id"), queries, F.col("text"))
+    asks, held = asked_terms(claims, queries, F.col("text"))
+    answers = answer_ranks(found.select("query_id", "id").distinct(), asks, held)
     fused = one_hop(materialise(rrf(found, answers), "fused"), edges)
     known = corpus.where(gates.recallable(corpus)).select("id", C.quality_weight(F.col("p"), F.col("title")).alias("w"))
     results = materialise(fused.join(known, "id").select("query_id", "id", (F.col("score") * F.col("w")).alias("score")), "results")
     if equivalence is not None:
         results = fold_equivalence(results, equivalence)
-    final = answer_leg(results.join(claims, "id").select("query_id", "id", "text"), queries, F.col("text")).select("query_id", "id", F.col("rank").alias("answer"))
+    final = answer_ranks(results.select("query_id", "id"), asks, held).select("query_id", "id", F.col("rank").alias("answer"))
     results = results.join(final, ["query_id", "id"], "left")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("answer").asc_nulls_last(), F.col("score").desc(), "id"))
     return results.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "id", F.round("score", 9).alias("score"), "rank")

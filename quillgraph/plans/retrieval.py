@@ -9,6 +9,7 @@ from quillgraph.functions import columns as C
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators import ingest, retrieve
 from quillgraph.plans.registry import query
+from quillgraph.runtime import spread
 from quillgraph.sources.tables import table
 
 STOP = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
@@ -40,7 +41,7 @@ bm AS (
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), C.text_or_empty(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), C.text_or_empty(F.col("text")).alias("text"))
 
 
 def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs, vectors = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     text = C.text_or_empty(F.col("text"))
     kind = F.when(F.col("doc_id") % 3 == 0, "Claim").otherwise("Concept")
     p = F.when(F.col("doc_id") % 7 == 0, "tag").when(F.col("doc_id") % 3 == 0, "says")
