@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import columns as C
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators import gates
-from quillgraph.runtime import materialise
+from quillgraph.runtime import materialise, spread
 
 
 def ranked(df: DataFrame, k: int | None = None, group: Sequence[str] = ("query_id",), score: str = "score", tie: str = "id") -> DataFrame:
@@ -54,14 +54,16 @@ def bm25(corpus: DataFrame, text: Column, queries: DataFrame, query_text: Column
     tokens = corpus.select("id", C.search_tokens(text).alias("t")).select("id", F.size("t").alias("dl"), F.array_append("t", "").alias("t"))
     # the marker makes every array one that yields rows; said with explode_outer, so that no filter on its size cuts the text again
     post = tokens.select("id", "dl", F.explode_outer("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    post = materialise(post, "postings")
+    # few rows may come back as one file: what each of them meets next is work for all cores
+    post = spread(materialise(post, "postings"))
     size = post.where("term = '' AND dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     # counted with partial sums in each task: a term of a third of all texts is one row for each task, not one group
     frequency = post.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    hits = post.join(asked.join(frequency, "term"), "term").join(F.broadcast(size))  # one row
+    # a posting's weight is its own: computed once, before it meets the questions
     length = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + length)).alias("score"))
+    weighted = post.join(frequency, "term").join(F.broadcast(size)).select("id", "term", (idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + length)).alias("weight"))  # one row
+    scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 
@@ -125,8 +127,8 @@ def vector(corpus: DataFrame, queries: DataFrame, k: int | None = 10, same_type:
     return ranked(found, k)
 
 
-def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact: bool) -> DataFrame:
-    """Nodes whose title has two or more content terms, all in the question; ``exact``: the title is also a phrase of it.
+def title_matches(corpus: DataFrame, queries: DataFrame, query_text: Column) -> DataFrame:
+    """``query_id, id, score, phrase``: nodes whose title has two or more content terms, all in the question; ``phrase`` where the whole title is one of it.
 
     Blocked on the title's terms: a node meets a question only through the rarest of its title's terms.
     """
@@ -137,10 +139,14 @@ def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact:
     rare = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     met = named.join(rare, "id").join(asks.select("query_id", "qt", "qp", F.explode("qt").alias("term")), "term")
     met = met.where(F.size(F.array_except("terms", "qt")) == 0)
-    if exact:
-        met = met.where(F.col("qp").contains(F.array_join("tt", " ")))
     score = (F.size("terms") + F.least(F.size("tt"), F.lit(12)) / 100.0) * F.col("w")
-    return ranked(met.select("query_id", "id", F.round(score, 9).alias("score")))
+    return met.select("query_id", "id", F.round(score, 9).alias("score"), F.col("qp").contains(F.array_join("tt", " ")).alias("phrase"))
+
+
+def title_legs(corpus: DataFrame, queries: DataFrame, query_text: Column, exact: bool) -> DataFrame:
+    """``query_id, id, score, rank`` of ``title_matches``; ``exact``: of phrases alone."""
+    met = title_matches(corpus, queries, query_text)
+    return ranked((met.where("phrase") if exact else met).select("query_id", "id", "score"))
 
 
 def asked_terms(claims: DataFrame, queries: DataFrame, query_text: Column) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +156,7 @@ def asked_terms(claims: DataFrame, queries: DataFrame, query_text: Column) -> tu
     every = claims.select("id", words.alias("t")).select("id", F.explode_outer("t").alias("term"))
     wanted = asks.select("term").distinct().withColumn("asked", F.lit(True))
     held = every.join(wanted, "term", "left").where("asked OR term IS NULL").select("id", "term")
-    return asks, materialise(held, "claim-terms")
+    return asks, spread(materialise(held, "claim-terms"))
 
 
 def answer_ranks(pool: DataFrame, asks: DataFrame, held: DataFrame) -> DataFrame:
@@ -221,17 +227,20 @@ def hybrid_recall(corpus: DataFrame, queries: DataFrame, edges: DataFrame, k: in
     """
     limit = max(k, V.LEAST_RESULTS)
     text = F.concat_ws(" ", "title", "content")
-    legs = [title_legs(corpus, queries, F.col("text"), e) for e in (True, False)]
-    weighted = corpus.withColumn("w", C.quality_weight(F.col("p"), F.col("title")))
-    legs += [vector(weighted, queries, k=vector_k), bm25(corpus, text, queries, F.col("text"), limit)]
+    # the contents are read for the lexical and the answer leg alone; what the others need is written once without them
+    light = corpus.withColumn("w", C.quality_weight(F.col("p"), F.col("title"))).withColumn("recallable", gates.recallable(corpus))
+    light = materialise(light.select("id", "title", "p", "w", "embedding", "recallable"), "corpus-without-contents")
+    titled = materialise(title_matches(light, queries, F.col("text")), "titled")
+    legs = [ranked(df.select("query_id", "id", "score")) for df in (titled.where("phrase"), titled)]
+    legs += [vector(light, queries, k=vector_k), bm25(corpus, text, queries, F.col("text"), limit)]
     # each leg is computed once: the pool, the fusion and the answers read the written ranks
     found = reduce(DataFrame.unionByName, (leg.select("query_id", "id", "rank") for leg in legs))
-    found = materialise(found, "legs")
+    found = spread(materialise(found, "legs"))
     claims = corpus.where((F.col("type") == "Claim") & ~C.is_structural_claim(F.col("p"), F.col("title"))).select("id", text.alias("text"))
     asks, held = asked_terms(claims, queries, F.col("text"))
     answers = answer_ranks(found.select("query_id", "id").distinct(), asks, held)
     fused = one_hop(materialise(rrf(found, answers), "fused"), edges)
-    known = corpus.where(gates.recallable(corpus)).select("id", C.quality_weight(F.col("p"), F.col("title")).alias("w"))
+    known = light.where("recallable").select("id", "w")
     results = materialise(fused.join(known, "id").select("query_id", "id", (F.col("score") * F.col("w")).alias("score")), "results")
     if equivalence is not None:
         results = fold_equivalence(results, equivalence)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import columns as C
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators.retrieve import ranked
-from quillgraph.runtime import materialise
+from quillgraph.runtime import materialise, spread
 from quillgraph.streaming.signed import SignedTables
 
 _SCHEMAS = {
@@ -106,12 +106,13 @@ class TextIndex:
         asked = materialise(queries.select("query_id", F.explode(F.array_distinct(C.search_tokens(query_text))).alias("term")), "asked")
         rows = _within(self.tables.read("postings", state), asked.select(self._bucket("term").alias("bucket")), self.buckets)
         rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
-        live = materialise(rows.groupBy("term", "id", "type", "tf", "dl").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign"), "live-postings")
+        live = spread(materialise(rows.groupBy("term", "id", "type", "tf", "dl").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign"), "live-postings"))
         frequency = live.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.lit(texts) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         length = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.lit(tokens / texts if texts else 1.0))
-        hits = (live if kind is None else live.where(F.col("type") == kind)).join(asked.join(frequency, "term"), "term")
-        scored = hits.groupBy("query_id", "id").agg(F.sum(idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + length)).alias("score"))
+        weighted = live.join(frequency, "term").select("id", "type", "term", (idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + length)).alias("weight"))
+        hits = (weighted if kind is None else weighted.where(F.col("type") == kind)).join(asked, "term")
+        scored = hits.groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
         return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 
