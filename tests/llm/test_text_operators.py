@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import html_extract as html
 from quillgraph.llm.decontaminate import BenchmarkIndex, covered, decontaminate
 from quillgraph.llm.common import tokens_of, words_alnum
-from quillgraph.llm.lm_scoring import lm_scores
+from quillgraph.llm.lm_scoring import lm_scores, row_key
 from quillgraph.llm.mixing import min_cost_flow, mix, route, targets
 from quillgraph.llm.quality import Discriminant, fit_quality, quality_scores, statistics
 from quillgraph.llm.toxicity import fit_toxicity, nn_risk, toxicity_scores, word_buckets
@@ -455,3 +455,14 @@ def test_mix_on_odd_rows(spark):
 def test_html_less_than_in_raw_elements(head):
     page = f"<html><body>{head}<article><p>One two</p><p>a<i>b</i></p></article></body></html>"
     assert html.text_lines(page) == [("One two", True, False), ("ab", True, False)]
+
+
+def test_lm_rows_without_id_stay_apart(spark):
+    """Half a million texts without an id, or with one, have as many keys; equal rows have one."""
+    rows = spark.range(500_000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 1000, F.col("id")).alias("number"))
+    d1, d2 = row_key(F.col("number"), F.col("text"))
+    assert rows.unionByName(rows.limit(5000)).select(d1.alias("d1"), d2.alias("d2")).distinct().count() == 500_000
+    docs = spark.createDataFrame([(None, "a b a b"), (None, "a c"), (None, "a b a b"), (None, None)], "doc_id bigint, text string")
+    got = sorted((r["n_tokens"], round(r["log_score"], 6)) for r in lm_scores(docs).collect())
+    other = sorted((r["n_tokens"], round(r["log_score"], 6)) for r in lm_scores(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect())
+    assert got == other
