@@ -76,6 +76,90 @@ def bridge_claims(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: in
     return ranked.withColumn("rank", place).where(F.col("rank") <= cap).drop("cosine")
 
 
+#: Claims of a seed's own block that are shown with it.
+SIBLINGS = 3
+
+
+def claim_seeds(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int = SIBLINGS, min_confidence: float = 0.0, allowed: Iterable[str] | None = None, similarity: DataFrame | None = None) -> DataFrame:
+    """``seed, id, s, p, o_id, o_literal, coverage, confidence, rank``: each claim that is a seed, at rank 0, and its ``cap`` best siblings.
+
+    ``claims(id, s, p, o_id, o_literal, confidence, block_id)``, ``seeds(seed)`` ids of claims, ``terms(seed, term)``. Siblings are the other
+    claims of the seed's block that have its subject at either end. They are ranked by the question's terms that they cover, weighed
+    by inverse frequency among seed and siblings, then by confidence, ``similarity(seed, id, cosine)``, and id.
+
+    * A seed without a subject, and one that the gates or its confidence hold back, opens nothing; without a block it has no siblings.
+    * An end and its block meet in one equality join, so a hub meets its own block's seeds alone; siblings are cut to the cap in each task.
+    * Repeated claims count once; seeds of unknown ids give nothing.
+    """
+    fine = claims.where(gates.passes(claims) & gates.predicate_allowed(F.col("p"), allowed) & (F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)) >= min_confidence))
+    shown = ["id", "s", "p", "o_id", "o_literal", F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)).alias("confidence"), "block_id"]
+    fine = fine.select(*shown).dropDuplicates(["id"])
+    own = fine.where(F.coalesce("s", F.lit("")) != "").join(seeds.select(F.col("seed").alias("id")).distinct(), "id", "left_semi")
+    opened = materialise(own.select(F.col("id").alias("seed"), F.col("s").alias("end"), "block_id"), "claim-seeds")
+    ends = fine.where(F.coalesce("block_id", F.lit("")) != "").select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("end"))
+    near = ends.join(opened, ["end", "block_id"]).where("id <> seed").drop("end", "block_id")
+    pool = near.withColumn("sibling", F.lit(True)).unionByName(own.drop("block_id").withColumn("seed", F.col("id")).withColumn("sibling", F.lit(False)))
+    pool = materialise(pool, "claim-seed-pool")
+    text = F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit("")))
+    covered = pool.select("seed", "id", F.explode(F.array_distinct(C.word_tokens(text))).alias("term")).join(terms.distinct(), ["seed", "term"])
+    size = pool.groupBy("seed").agg(F.count("*").alias("n"))
+    covered = covered.join(covered.groupBy("seed", "term").agg(F.count("*").alias("df")).join(size, "seed"), ["seed", "term"])
+    scores = covered.groupBy("seed", "id").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
+    scored = pool.join(scores, ["seed", "id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    order = [F.col("coverage").desc(), F.col("confidence").desc()]
+    if similarity is not None:
+        scored = scored.join(similarity, ["seed", "id"], "left")
+        order.append(F.coalesce("cosine", F.lit(0.0)).desc())
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("sibling", *order, "id"))
+    columns = ["seed", "id", "s", "p", "o_id", "o_literal", "coverage", "confidence"]
+    return scored.withColumn("rank", place).where(F.col("rank") <= cap + 1).select(*columns, (F.col("rank") - 1).alias("rank"))
+
+
+def claim_ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, hops: int = 1, allowed: Iterable[str] | None = None) -> DataFrame:
+    """Rows of the ego graph of each claim seed: ``seed, hop, id, s, p, o_id, o_literal, coverage, confidence``; a fact once, in its first hop.
+
+    The first hop holds the seed, its siblings and the ``cap`` best claims of its subject, wherever they stand; later ones
+    at most ``max(cap // 2, 4)`` claims of each entity, and ``cap`` entities, that the hop before named.
+    """
+    near = materialise(claim_seeds(claims, seeds, terms, allowed=allowed), "claim-ego")
+    columns = ["seed", "hop", "id", "s", "p", "o_id", "o_literal", "coverage", "confidence"]
+    out = near.withColumn("hop", F.lit(1)).select(*columns)
+    # a seed's subject is opened under the seed's own question
+    frontier = known = near.where("rank = 0").select("seed", F.col("s").alias("entity"))
+    for hop in range(1, hops + 1):
+        words = frontier.join(terms, "seed").select(F.concat_ws("\x1f", "seed", "entity").alias("key"), "term").distinct()
+        ends = frontier.withColumn("key", F.concat_ws("\x1f", "seed", "entity"))
+        found = _entity_claims(claims, ends, words, cap if hop == 1 else max(cap // 2, 4), allowed)
+        rows = materialise(found.withColumn("hop", F.lit(hop)).select(*columns), f"claim-ego-{hop}")
+        out = out.unionByName(rows)
+        if hop < hops:
+            named = (out if hop == 1 else rows).select("seed", "coverage", "confidence", F.explode(F.array_compact(F.array("s", "o_id"))).alias("entity"))
+            best = named.groupBy("seed", "entity").agg(F.max(F.struct("coverage", "confidence")).alias("b")).join(known, ["seed", "entity"], "left_anti")
+            place = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("b").desc(), "entity"))
+            frontier = materialise(best.withColumn("n", place).where(F.col("n") <= cap).select("seed", "entity"), f"claim-frontier-{hop}")
+            known = known.unionByName(frontier)
+    fact = Window.partitionBy("seed", "s", "p", F.coalesce("o_id", F.concat(F.lit("\x1f"), "o_literal"))).orderBy("hop", F.col("coverage").desc(), F.col("confidence").desc(), "id")
+    return out.withColumn("__n", F.row_number().over(fact)).where("__n = 1").drop("__n")
+
+
+def _entity_claims(claims: DataFrame, ends: DataFrame, words: DataFrame, cap: int, allowed: Iterable[str] | None) -> DataFrame:
+    """``bridge_claims`` of entities that are asked for under several questions: ``ends(seed, entity, key)``, ``words(key, term)``."""
+    entities = ends.select("entity").distinct()
+    about = claims.select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("entity")).join(entities, "entity", "left_semi").join(ends, "entity")
+    own = about.select(F.col("key").alias("s0"), *(F.col(c) for c in claims.columns), "seed")
+    # each question's copy of an entity is an entity of its own
+    rows = own.where(gates.passes(own) & gates.predicate_allowed(F.col("p"), allowed)).withColumn("confidence", F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)))
+    rows = rows.dropDuplicates(["s0", "id"])
+    text = F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit("")))
+    covered = rows.select("s0", "id", F.explode(F.array_distinct(C.word_tokens(text))).alias("term")).join(words.withColumnRenamed("key", "s0"), ["s0", "term"])
+    size = rows.groupBy("s0").agg(F.count("*").alias("n"))
+    covered = covered.join(covered.groupBy("s0", "term").agg(F.count("*").alias("df")).join(size, "s0"), ["s0", "term"])
+    scores = covered.groupBy("s0", "id").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
+    scored = rows.join(scores, ["s0", "id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("s0").orderBy(F.col("coverage").desc(), F.col("confidence").desc(), "id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= cap)
+
+
 def ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, hops: int = 1, allowed: Iterable[str] | None = None) -> DataFrame:
     """Rows of each seed's ego graph: ``seed, hop, id, s, p, o_id, o_literal, coverage, confidence``; a fact once, in its first hop.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
+from quillgraph.runtime import materialise
 
 
 def sentence_units(text: Column) -> Column:
@@ -114,3 +115,36 @@ def hunks(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["block_id", "byte_start", "byte_end", "text", "content_hash"])
 
     return pairs.select("block_id", "old", "new", "byte_start").mapInPandas(run, "block_id string, byte_start long, byte_end long, text string, content_hash string")
+
+
+def prior_snapshot(old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an earlier version left: ``path, content_hash`` of blocks that carry claims, and for each ``path, block_index`` one block ``old, had_claims``.
+
+    ``old(path, block_index, content_hash, text, has_claims)``. Of several blocks at one place one with claims stands for it, then the one of the smallest digest.
+    """
+    claimed = F.coalesce("has_claims", F.lit(False))
+    settled = old.where(claimed & (F.coalesce("content_hash", F.lit("")) != "")).select("path", "content_hash").distinct()
+    best = F.min_by(F.struct(C.text_or_empty(F.col("text")).alias("old"), claimed.alias("had_claims")), F.struct(~claimed, "content_hash"))
+    return settled, old.where("block_index IS NOT NULL").groupBy("path", "block_index").agg(best.alias("b")).select("path", "block_index", "b.old", "b.had_claims")
+
+
+def extraction_units(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``path, block_id, byte_start, byte_end, content_hash, text, whole``: what an edit leaves to be extracted.
+
+    ``new(path, id, block_index, byte_start, byte_end, content_hash, raw BINARY)``. A block whose bytes carried claims
+    before, wherever in its file, is left out by its digest, before any text is compared. Of others the lines that differ from the old block of
+    the same place are units, with their bytes in the new file; a block without an old one, or without a new line whose
+    old one never had claims, is a unit as a whole.
+
+    * A null text or null bytes are empty; a block of white space alone has no unit of lines. Repeated rows of a block count once.
+    * Texts of the two versions meet by path and place, one to one, so that no group grows with a file. Empty tables give no rows.
+    """
+    settled, placed = prior_snapshot(old)
+    fresh = new.dropDuplicates(["path", "id"]).join(settled, ["path", "content_hash"], "left_anti")
+    pairs = materialise(fresh.select("path", F.col("id").alias("block_id"), "block_index", "byte_start", "byte_end", "content_hash", F.coalesce("raw", F.lit(b"")).alias("new")).join(placed, ["path", "block_index"], "left"), "changed-blocks")
+    known = pairs.where("old <> ''")
+    lines = materialise(hunks(known), "changed-lines").join(known.select("block_id", "path").distinct(), "block_id")
+    lines = lines.select("path", "block_id", "byte_start", "byte_end", "content_hash", "text", F.lit(False).alias("whole"))
+    untouched = pairs.join(lines.select("block_id").distinct(), "block_id", "left_anti").where("old IS NULL OR old = '' OR NOT had_claims")
+    whole = untouched.select("path", "block_id", "byte_start", "byte_end", F.sha2("new", 256).alias("content_hash"), F.btrim(F.decode("new", "utf-8")).alias("text"), F.lit(True).alias("whole"))
+    return lines.unionByName(whole)

@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.runtime import materialise
 
 #: Imports may nest so deep.
 MAX_DEPTH = 32
@@ -81,3 +84,42 @@ def resolve_type(packs: dict[str, dict], name: str, pack_id: str | None = None)
     if len(owners) != 1:
         raise PackError(f"{name}: {'ambiguous' if owners else 'unknown'}")
     return f"{owners[0]}:{name}"
+
+
+def import_closure(packs: DataFrame, imports: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``root, pack, depth, path, fault``: all ways from each of ``packs(pack)`` along ``imports(pack, import)``, by recursion in the engine; written.
+
+    A way ends at its fault: ``too_deep`` beyond ``max_depth`` packs, ``self_import``, ``circular_import`` for one that
+    is on the way already, ``unknown_pack`` for one that ``packs`` lacks. Nulls and repeated rows count for nothing.
+    """
+    spark = packs.sparkSession
+    known = packs.where("pack IS NOT NULL").select("pack").distinct()
+    edges = imports.where("pack IS NOT NULL AND import IS NOT NULL").select("pack", "import").distinct()
+    edges = materialise(edges.join(known.select(F.col("pack").alias("import"), F.lit(True).alias("known")), "import", "left").select("pack", "import", F.coalesce("known", F.lit(False)).alias("known")), "imports")
+    limits = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(max_depth + 2)}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        walk = spark.sql(
+            f"""
+            WITH RECURSIVE walk(root, pack, depth, path, fault) AS (
+              SELECT pack, pack, 0, array(pack), CAST(NULL AS STRING) FROM {{known}}
+              UNION ALL
+              SELECT w.root, e.import, w.depth + 1, array_append(w.path, e.import),
+                CASE WHEN w.depth + 1 >= {max_depth} THEN 'too_deep' WHEN e.import = w.pack THEN 'self_import' WHEN array_contains(w.path, e.import) THEN 'circular_import' WHEN NOT e.known THEN 'unknown_pack' END
+              FROM walk w JOIN {{edges}} e ON e.pack = w.pack WHERE w.fault IS NULL
+            ) SELECT * FROM walk""",
+            known=known,
+            edges=edges,
+        )
+        return materialise(walk, "import-closure")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def loadable(closure: DataFrame) -> DataFrame:
+    """``root, n_packs, depth, fault``: what loading each pack takes, and the fault that stops it, that of the shortest and then first way."""
+    fine = F.col("fault").isNull()
+    return closure.groupBy("root").agg(F.count_distinct(F.when(fine, F.col("pack"))).alias("n_packs"), F.max(F.when(fine, F.col("depth"))).alias("depth"), F.min_by("fault", F.when(~fine, F.struct("depth", "path"))).alias("fault"))
