@@ -124,15 +124,16 @@ def bootstrap_ci(diffs: DataFrame, value: str, iters: int = 1000, seed: int = 7,
     """``low, high``: seeded paired bootstrap of the mean of differences that are -1, 0 or 1; zeros without any.
 
     Draw ``j`` of sample ``i`` is a hash of seed, ``i`` and ``j``, so that any partitioning gives the same interval.
-    Draws pick from the counts of the three values, hence no rows are joined; ``iters`` sums are what is shuffled.
+    Draws pick from the counts of the three values, hence no rows are joined; all draws are one range of numbers, dealt out
+    evenly, of which each task sums its own, and ``iters`` sums are what is shuffled.
     """
-    counts = diffs.agg(F.count(value).alias("n"), F.count_if(F.col(value) < 0).alias("less"), F.count_if(F.col(value) == 0).alias("none"))
-    slots = diffs.sparkSession.range(iters).withColumnRenamed("id", "i").repartition(diffs.sparkSession.sparkContext.defaultParallelism)
-    draws = slots.join(F.broadcast(counts)).where("n > 0")  # one row
-    draws = draws.select("i", "n", "less", "none", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")
-    drawn = F.when(place < F.col("less"), -1).when(place < F.col("less") + F.col("none"), 0).otherwise(1)
-    means = draws.groupBy("i").agg((F.sum(drawn) / F.first("n")).alias("mean"))
+    spark = diffs.sparkSession
+    n, less, none = diffs.agg(F.count(value), F.count_if(F.col(value) < 0), F.count_if(F.col(value) == 0)).first()
+    size = F.lit(max(n, 1)).cast("long")
+    draws = spark.range(iters * n).select(F.expr(f"id div {max(n, 1)}").alias("i"), (F.col("id") % size).alias("j"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % size
+    drawn = F.when(place < less, -1).when(place < less + none, 0).otherwise(1)
+    means = draws.groupBy("i").agg((F.sum(drawn) / size).alias("mean"))
     edge = (1 - conf) / 2
     return means.agg(*(F.round(F.coalesce(F.percentile("mean", F.lit(q)), F.lit(0.0)), 6).alias(name) for name, q in (("low", edge), ("high", 1 - edge))))
 
