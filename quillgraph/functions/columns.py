@@ -284,3 +284,53 @@ def surface_flags(text: Column) -> Column:
         ("suspected_mojibake", t.rlike("\ufffd|\u00c3[\u00a1\u00a3\u00a9\u00aa\u00ad\u00b3\u00ba\u00a7]|\u00e2\u20ac|\u00f0\u0178")),
     )
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
+
+
+#: Titles of a pack for software work that stand for another. Fixed values.
+PACK_TITLES = {"epics": "Epic", "stories": "Story", "tasks": "Task"}
+
+
+def canonical_title(kind: Column, title: Column, pack_titles: dict[str, str] | None = None) -> Column:
+    """A title's shape made one: white space, space around slashes, slashes at the end (unless it is nothing else), and a leading "The" of a concept; letters stay as they are.
+
+    ``pack_titles`` replaces whole titles of concepts, whatever their case. A null title is empty, a null kind no concept.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text_or_empty(title), r"(?U)\s+", " "), r"(?U)\s*/\s*", "/")
+    bare = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
+    bare = F.coalesce(F.nullif(F.regexp_replace(bare, "/+$", ""), F.lit("")), bare)
+    concept = F.regexp_replace(F.regexp_replace(bare, r"(?iU)^the\s+", ""), r"(?U)^\s+|\s+$", "")
+    if pack_titles:
+        table = F.create_map(*(F.lit(x) for pair in sorted(pack_titles.items()) for x in pair))
+        concept = F.coalesce(F.try_element_at(table, F.lower(concept)), concept)
+    return F.when(kind.eqNullSafe(F.lit("Concept")), concept).otherwise(bare)
+
+
+def document_title(explicit: Column, path: Column, root: Column, copies: str | None = None) -> Column:
+    """A document's title: the one that its front matter has, else its path below the root without the extension, else, where it isn't below the root, its file's name without it.
+
+    ``copies`` names the folder below the root where copies of outside files lie; it is left out, and so is a folder of 16
+    hexadecimal digits in it that stands for where they came from.
+    """
+    ending = r"([^/])\.[^/.]+$"
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), ending, "$1")
+    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    below = F.when(path.startswith(base), F.substr(path, F.length(base) + 1))
+    if copies:
+        inside = F.when(below.startswith(F.lit(f"{copies}/")), F.regexp_replace(F.substr(below, F.lit(len(copies) + 2)), "^[0-9a-f]{16}/(?=.)", ""))
+        below = F.coalesce(inside, below)
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(F.regexp_replace(below, ending, "$1"), F.lit("")), stem)
+
+
+def reference_tokens(node: Column, named: list[Column], path: Column, root: Column) -> Column:
+    """What others may call a document by: its id, what its front matter names it, its file's name, its path, and that below the root; distinct, none empty."""
+    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    name = F.regexp_extract(path, "([^/]*)/*$", 1)
+    below = F.when(path.startswith(base), F.substr(path, F.length(base) + 1))
+    return F.filter(F.array_distinct(F.array_compact(F.array(node, *named, name, path, below))), lambda t: t != "")
+
+
+def plan_hash(run: Column, plan: Column, operations: Column, context: Column) -> Column:
+    """``sha256:`` and the digest of a plan's compact JSON; ``operations`` is an array of JSON objects in order, ``context`` one, both with their keys in order; for ASCII values."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    whole = F.concat(F.lit('{"context":'), context, F.lit(',"operations":['), F.array_join(operations, ","), F.lit('],"plan_id":'), quoted(plan), F.lit(',"run_id":'), quoted(run), F.lit("}"))
+    return F.concat(F.lit("sha256:"), F.sha2(whole, 256))

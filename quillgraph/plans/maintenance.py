@@ -14,6 +14,7 @@ from quillgraph.sources.tables import CLAIMS_SQL, NODES_SQL, claims, nodes, tabl
 
 @query("SELECT trim(regexp_replace(lower(p_type), '[^0-9a-z]+', ' ', 'g')) AS key, count(*) AS n FROM part GROUP BY 1 HAVING key <> ''")
 def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each type of part is named, by its near-duplicate key; an empty key counts for nothing."""
     return consolidate.mention_counts(table(spark, sf_dir, "part").select(F.col("p_type").alias("title")))
 
 

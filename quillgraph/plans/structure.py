@@ -22,11 +22,13 @@ WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 
 @query(f"WITH {NODES_SQL} SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def node_type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of nodes of each type."""
     return nodes(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT type, count(*) AS n FROM edges GROUP BY type")
 def edge_type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of edges of each type, no edge twice."""
     return edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -39,6 +41,7 @@ def graph_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGES_SQL}, {DEG} SELECT id, degree FROM deg")
 def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in and out of each node that has any; a loop counts twice."""
     return retrieve.degrees(edges(spark, sf_dir))
 
 
@@ -150,6 +153,7 @@ def fold_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NODES_SQL}, {EQUIV_SQL}, live AS (SELECT * FROM equiv WHERE canonical_id IN (SELECT id FROM nodes))
 SELECT coalesce(canonical_id, id) AS id, count(*) - 1 AS variant_count FROM nodes LEFT JOIN live ON member_id = id GROUP BY 1""")
 def fold_node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes without the variants whose canonical is among them, and how many each stands for."""
     return graph.fold_nodes(nodes(spark, sf_dir), _equivalence(spark, sf_dir))
 
 
@@ -168,6 +172,7 @@ def canonical_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CLAIMS_SQL}, {ALIAS_SQL} SELECT id, coalesce(canonical, p) AS p FROM claims LEFT JOIN aliases ON predicate = p")
 def fold_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim under its canonical predicate."""
     aliases = spark.createDataFrame(_ALIASES, "predicate string, canonical string")
     return retrieve.fold_predicates(claims(spark, sf_dir).select("id", "p"), aliases)
 
@@ -189,12 +194,14 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, {BAD_SQL}, e AS (SELECT id, 'src' AS side, src AS node FROM bad UNION ALL SELECT id, 'dst', dst FROM bad)
 SELECT 'missing_edge_endpoint' AS code, id AS artifact_id, side AS reference, node AS expected, 'missing' AS observed FROM e WHERE node NOT IN (SELECT id FROM nodes)""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a damaged graph that lack an end."""
     return integrity.missing_endpoints(_damaged(spark, sf_dir), nodes(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES_SQL}, {BAD_SQL}, h AS (SELECT *, sha256('edge' || chr(31) || src || chr(31) || type || chr(31) || dst) AS identity FROM bad)
 SELECT 'content_addressed_id_mismatch' AS code, id AS artifact_id, 'id' AS reference, identity AS expected, id AS observed FROM h WHERE id <> identity""")
 def edge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a damaged graph whose id isn't the digest of what they say."""
     return integrity.wrong_edge_ids(_damaged(spark, sf_dir)).where("code = 'content_addressed_id_mismatch'")
 
 
@@ -209,6 +216,7 @@ def facet_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EDGES_SQL}, {BAD_SQL}, j AS (SELECT e.id AS i, b.id AS k, e.src AS s1, b.src AS s2, e.dst AS d1, b.dst AS d2 FROM edges e FULL JOIN bad b ON e.id = b.id)
 SELECT code, count(*) AS n FROM (SELECT 'missing_adjacency_observation' AS code FROM j WHERE k IS NULL UNION ALL SELECT 'unlisted_physical_edge' FROM j WHERE i IS NULL UNION ALL SELECT 'adjacency_property_mismatch' FROM j WHERE s1 <> s2 UNION ALL SELECT 'adjacency_property_mismatch' FROM j WHERE d1 <> d2) GROUP BY code""")
 def adjacency_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues between the edges and a damaged view of them, counted by code."""
     return integrity.audit(integrity.adjacency_issues(edges(spark, sf_dir), _damaged(spark, sf_dir)))
 
 
@@ -233,6 +241,7 @@ def tier0_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NODES_SQL} SELECT type, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS key, count(*) AS n, min(id) AS first FROM nodes GROUP BY ALL")
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by type and surface key, with the first of each group."""
     return resolve.exact_groups(nodes(spark, sf_dir))
 
 
@@ -337,6 +346,7 @@ def capped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Predicates.
 @query(f"WITH {EDGES_SQL}, {CLAIMS_SQL} SELECT predicate, count(*) AS n FROM (SELECT type AS predicate FROM edges UNION ALL SELECT p FROM claims) GROUP BY 1")
 def predicate_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each type of edge and predicate of a claim occurs."""
     return predicates.vocabulary(edges(spark, sf_dir), claims(spark, sf_dir))
 
 
@@ -354,6 +364,7 @@ def shared_argument_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NODES_SQL}, {CLAIMS_SQL} SELECT p, coalesce(a.type, 'unknown') AS subject_type, CASE WHEN o_id IS NULL THEN 'literal' ELSE coalesce(b.type, 'unknown') END AS object_type, count(*) AS n FROM claims LEFT JOIN nodes a ON a.id = s LEFT JOIN nodes b ON b.id = o_id GROUP BY ALL")
 def predicate_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of subject and object of each predicate, counted; an end that isn't a node is unknown."""
     return predicates.signatures(claims(spark, sf_dir), nodes(spark, sf_dir))
 
 
@@ -397,12 +408,14 @@ def predicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT key, type, count(*) AS n, sum(low::INT) AS low, sum(gen::INT) AS gen FROM k GROUP BY ALL), y AS (SELECT key, sum(n) AS n, sum((n > 1)::INT) AS same, count(*) AS types, sum(low) AS low, sum(gen) AS gen FROM t GROUP BY key)
 SELECT CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(same) AS BIGINT) AS duplicate_groups, CAST(sum((types > 1)::INT) AS BIGINT) AS conflict_groups, CAST(sum(low) AS BIGINT) AS low_value, CAST(sum(gen) AS BIGINT) AS generic FROM y""")
 def surface_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on titles: same keys within and across types, low-value and generic ones."""
     return quality.surface_layer(nodes(spark, sf_dir))
 
 
 @query(f"""WITH {CLAIMS_SQL}, b AS (SELECT {KEY.format(x='p')} AS p, count(*) AS n FROM claims GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS n_claims, count(*) AS n_predicates, CAST(sum((n = 1)::INT) AS BIGINT) AS singletons, CAST(sum(CASE WHEN p IN ('', 'n_a', 'na', 'none', 'null', 'undefined', 'unknown') THEN n ELSE 0 END) AS BIGINT) AS placeholders, round(1000 * count(*) / sum(n), 6) AS per_thousand, round(sum(CASE WHEN p IN ({", ".join(f"'{w}'" for w in V.CORE_PREDICATES)}) THEN n ELSE 0 END) / sum(n), 6) AS registered_share FROM b""")
 def predicate_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on predicates: claims, labels, singletons, placeholders and registered ones."""
     return quality.predicate_layer(claims(spark, sf_dir))
 
 
@@ -440,12 +453,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL}, c AS (SELECT gold, predicted, count(*) AS n FROM items GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY gold) AS g, sum(n) OVER (PARTITION BY predicted) AS q FROM c),
 s AS (SELECT sum(n * n / q) / sum(n) AS p, sum(n * n / g) / sum(n) AS r FROM w) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s""")
 def adjudication_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B-cubed precision, recall and F1 of predicted against gold clusters, from counts of cells."""
     return quality.b_cubed(_items(spark, sf_dir))
 
 
 @query(f"""WITH {ITEMS_SQL}, c AS (SELECT gold, predicted, count(*) AS n FROM items GROUP BY ALL), b AS (SELECT sum(n * (n - 1) / 2) AS x FROM c), g AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM items GROUP BY gold)), p AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM items GROUP BY predicted))
 SELECT CAST(p.x - b.x AS BIGINT) AS false_merges, CAST(g.x - b.x AS BIGINT) AS missed_merges, CAST(b.x AS BIGINT) AS right_merges FROM b, g, p""")
 def pairwise_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """False and missed merges between gold and predicted clusters, counted without pairs."""
     return quality.pairwise_clusters(_items(spark, sf_dir))
 
 
@@ -473,11 +488,13 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, count(*) AS calls, round(sum(v), 3) AS total, round(max(CASE WHEN i = n // 2 THEN v END), 3) AS p50, round(max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.9) AS BIGINT)) THEN v END), 3) AS p90, round(max(v), 3) AS max FROM r GROUP BY event_type""")
 def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, total and nearest-rank quantiles of the events' values, by type."""
     return quality.timing(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @query("SELECT count(n_chars) AS n, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95 FROM documents")
 def nearest_rank_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank quantiles of the documents' lengths."""
     return quality.distribution(table(spark, sf_dir, "documents"), F.col("n_chars"))
 
 
@@ -490,6 +507,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT l_orderkey AS q, bool_or(l_returnflag = 'R') AS x, bool_or(l_quantity > 40) AS y FROM lineitem GROUP BY 1)
 SELECT CAST(sum((x AND y)::INT) AS BIGINT) AS both, CAST(sum((x AND NOT y)::INT) AS BIGINT) AS only_a, CAST(sum((NOT x AND y)::INT) AS BIGINT) AS only_b, CAST(sum((NOT x AND NOT y)::INT) AS BIGINT) AS neither FROM r""")
 def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions that two arms answer: agreements and disagreements of the arms."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"))
     return quality.paired(lines.agg(F.max(F.col("l_returnflag") == "R").alias("correct")), lines.agg(F.max(F.col("l_quantity") > 40).alias("correct")))
 
@@ -509,11 +527,13 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LEDGER_SQL} SELECT run_id, arg_max(state, seq) FILTER (WHERE kind = 'ingest_run') AS state, min(ts) FILTER (WHERE state = 'started') AS started_at, max(ts) FILTER (WHERE kind = 'ingest_run' AND state <> 'started') AS completed_at,
 count(DISTINCT candidate_id) FILTER (WHERE kind = 'candidate') AS candidates, count(*) FILTER (WHERE kind = 'comparison') AS comparisons, count(*) FILTER (WHERE kind = 'commit_plan') AS commit_plans, count(*) FILTER (WHERE kind = 'commit_record') AS commit_records FROM led GROUP BY run_id""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each run of the ledger: its last state, candidates and records by kind."""
     return ledger.run_summary(_ledger(spark, sf_dir))
 
 
 @query(f"WITH {LEDGER_SQL}, s AS (SELECT run_id, arg_max(state, seq) FILTER (WHERE kind = 'ingest_run') AS state, min(ts) FILTER (WHERE state = 'started') AS started_at FROM led GROUP BY run_id) SELECT run_id, started_at FROM s WHERE state = 'started'")
 def open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the ledger that started and haven't ended."""
     return ledger.open_runs(_ledger(spark, sf_dir))
 
 
@@ -576,6 +596,7 @@ def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT 'order-' || o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1996-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F'))
 SELECT 'f_' || sha256('commitment_temporal_shacl' || chr(31) || id)[1:16] AS finding_id, 'commitment_temporal_shacl' AS kind, 'warn' AS severity, 'open' AS status, id AS document_id, 'Commitment is overdue with no closure evidence: ' || id AS message FROM d""")
 def drift_commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commitments that are past their date without a closure."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     docs = table(spark, sf_dir, "orders").select(name("order-", "o_orderkey").alias("id"), F.lit("commitment").alias("type"), F.col("o_orderdate").alias("due"), F.array(F.col("o_orderkey").cast("string")).alias("tokens"))
     closures = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.lit("lines").alias("id"), F.col("l_orderkey").cast("string").alias("value"))
@@ -596,6 +617,7 @@ def drift_stale_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'f_' || sha256('authority_alias_collision' || chr(31) || id)[1:16] AS finding_id, 'authority_alias_collision' AS kind, 'warn' AS severity, 'open' AS status, id AS document_id, 'Authority alias collides with primary authority: ' || agent AS message
 FROM d WHERE alias_of IS NOT NULL AND agent IN (SELECT agent FROM d WHERE alias_of IS NULL)""")
 def drift_alias_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as authorities: agents that several of them claim without an alias between them."""
     k = F.col("c_custkey")
     docs = table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), k.cast("string")).alias("id"), F.lit("authority").alias("type"), F.concat(F.lit("agent-"), (k % 199).cast("string")).alias("agent"), F.when(k % 4 == 0, "other").alias("alias_of"))
     return detect.alias_collisions(docs)

@@ -82,3 +82,14 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the stub's vector of its whole text, in calls of bounded size; made of digests, so a test stands for SQL."""
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return embedding.embed_in_batches(docs, most_tokens=20_000).drop("text")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t, regexp_extract(url, '://([^?#]*)', 1) AS path, regexp_extract(url, '://([^/?#]*)', 1) AS root FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '\s*/\s*', '/', 'g'), '^\s+|\s+$', '', 'g') AS bare, CASE WHEN starts_with(path, root || '/') THEN regexp_replace(substr(path, length(root) + 2), '([^/])\.[^/.]+$', '\1') END AS below FROM p)
+SELECT page_id, regexp_replace(regexp_replace(coalesce(nullif(regexp_replace(bare, '/+$', ''), ''), bare), '^(?i)the\s+', ''), '^\s+|\s+$', '', 'g') AS canonical,
+  coalesce(nullif(below, ''), regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '([^/])\.[^/.]+$', '\1')) AS title FROM b""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's title in canonical shape, as a concept, and its path below its host as the title of a document without front matter."""
+    at = lambda pattern: F.regexp_extract("url", pattern, 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("t"), at("://([^?#]*)").alias("path"), at("://([^/?#]*)").alias("root"))
+    return pages.select("page_id", C.canonical_title(F.lit("Concept"), F.col("t")).alias("canonical"), C.document_title(F.lit(None).cast("string"), F.col("path"), F.col("root")).alias("title"))
