@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import adjudicate, evaluation, evaluations, lookups, maintenance, registry, retrieval, structure, upkeep, walks  # noqa: F401  (they register)
+from quillgraph.plans import adjudicate, evaluation, evaluations, lookups, maintenance, registry, retrieval, roundtrips, structure, upkeep, walks  # noqa: F401  (they register)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
