@@ -190,6 +190,26 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, n
     return home.unionByName(query).groupBy("key", "block", "part").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def _bound(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes under ids of their own, and the links ``a, b`` between classes of one document: those that ``rows(id, d1, d2)`` repeats with other texts; None without any.
+
+    A class is named by its smallest id. Where two have the same one, all but the first get a number beyond all ids instead
+    (2^62 and a hash of their digest), so that each is compared by its own text; a component's smallest id is a document's still.
+    """
+    again = rows.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high").select("id")
+    again = materialise(again, "repeated-ids")
+    if again.isEmpty():
+        return nodes, None
+    first = nodes.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("first"))
+    other = F.col("first").isNotNull() & (F.col("first") != F.struct("d1", "d2"))
+    beyond = F.lit(2**62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2))
+    named = nodes.join(first, "id", "left").withColumn("id", F.when(other, beyond).otherwise(F.col("id"))).select(*nodes.columns)
+    named = materialise(named, "classes-apart")
+    held = materialise(rows.join(again, "id", "left_semi").distinct().join(named.select("d1", "d2", F.col("id").alias("node")), ["d1", "d2"]).select("id", "node"), "repeated-classes")
+    least = held.groupBy("id").agg(F.min("node").alias("a"))
+    return named, materialise(held.join(least, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "repeated-links")
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have ``den * intersection >= num * union``.
 
@@ -199,24 +219,26 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
 
     * A text that is null or without words has no shingles, is linked with nothing and is kept; with fewer
       words than ``n`` the whole sequence is its one shingle.
-    * Ids are integers. A row without an id gets its ``n_shingles``, no component, and is kept. Rows that repeat
-      an id are one document: links of one of them are links of that id.
+    * Ids are integers below 2^62. A row without an id gets its ``n_shingles``, no component, and is kept. Rows that repeat
+      an id are one document: links of one of them are links of that id, and all have one component.
     * An empty table gives an empty result; other columns aren't read.
     """
     sketcher = Sketcher(bands, rows, bits, seed)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     sketches = materialise(_sketches(texts, n, sketcher), "sketches")
     classes = sketches.where("id IS NOT NULL AND n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = materialise(classes.select("rep.id", "rep.th", "d1", "d2", "n", "sig", "bands"), "classes")
+    nodes = materialise(classes.select("rep.id", "rep.th", "d1", "d2", "n", "sig", "bands", F.col("rep.id").alias("own")), "classes")
+    nodes, bound = _bound(nodes, sketches.where("id IS NOT NULL AND n > 0").select("id", "d1", "d2"))
 
     rows_ = nodes.select("id", F.explode("bands").alias("key"))
     buckets = materialise(rows_.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select("key", "pivot"), "buckets")
     members = materialise(rows_.join(buckets, "key"), "members")
     several = materialise(members.select("id").distinct(), "several")
-    wanted = texts.join(nodes.select("id", "th").join(several, "id"), ["id", "th"]).select("id", "text").dropDuplicates(["id"])
+    wanted = texts.join(nodes.join(several, "id").select(F.col("own").alias("id"), "th", F.col("id").alias("node")), ["id", "th"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
     texts = materialise(wanted, "near-texts")
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(_confirm(stars, nodes, texts, n, num, den, sketcher), "links")
+    links = links if bound is None else links.unionByName(bound)
     found = connected_components(links)
 
     # Members of different components of one bucket that haven't met.

@@ -1,6 +1,7 @@
 """Exact, line and near-duplicate removal against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -160,3 +161,16 @@ def test_estimate_is_close(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_near_dedup_repeated_ids_are_one_document(spark):
+    """Links of any text of an id are links of the id, whichever text comes first."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randrange(30)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, c), (5, d), (4, d), (6, c + " x"), (7, e), (7, e), (8, f), (9, None), (9, f + " y"), (None, a)]
+    for shuffled in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near.near_duplicates(spark.createDataFrame(shuffled, "doc_id bigint, text string"), n=3, num=85, den=100).collect()), key=repr)
+        want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, None: None}
+        # a row without words is linked with nothing, whatever else its id holds
+        assert got == sorted(((i, i if t is None else want[i], i is None or (i if t is None else want[i]) == i) for i, t in shuffled), key=repr)
