@@ -212,8 +212,42 @@ def fold_nodes(nodes: DataFrame, equivalence: DataFrame) -> DataFrame:
     return named.groupBy("id").agg((F.count("*") - 1).alias("variant_count"))
 
 
-def canonical_copy(claims: DataFrame, equivalence: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Claims on canonical entities and predicates, keyed anew; equal ones are one, with the number that say so and the best confidence."""
+def _turned(rows: DataFrame, kind: str, ends: tuple[str, str], inverse: DataFrame | None) -> DataFrame:
+    """Rows whose predicate has an inverse that is the canonical one (``predicate, canonical``): under that, with their ends swapped. Rows without both ends stay."""
+    if inverse is None:
+        return rows
+    a, b = ends
+    named = rows.join(inverse.select(F.col("predicate").alias(kind), F.col("canonical").alias("__turn")).dropDuplicates([kind]), kind, "left")
+    swap = F.col("__turn").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
+    new = {kind: F.when(swap, F.col("__turn")).otherwise(F.col(kind)), a: F.when(swap, F.col(b)).otherwise(F.col(a)), b: F.when(swap, F.col(a)).otherwise(F.col(b))}
+    return named.select(*(new.get(c, F.col(c)).alias(c) for c in rows.columns))
+
+
+def canonical_edges(edges: DataFrame, equivalence: DataFrame, aliases: DataFrame, inverse: DataFrame | None = None) -> DataFrame:
+    """``id, type, src, dst``: edges between canonical entities under canonical types, keyed anew, without loops and repeats.
+
+    ``equivalence(member_id, canonical_id)``, ``aliases(predicate, canonical)`` and ``inverse`` of the same columns, by which an edge is turned round. A member or
+    predicate has one canonical; null ends are no edges.
+    """
+    turned = _turned(edges.select("type", "src", "dst"), "type", ("src", "dst"), inverse)
+    ends = {c: equivalence.select(F.col("member_id").alias(c), F.col("canonical_id").alias(f"c_{c}")) for c in ("src", "dst")}
+    moved = turned.join(ends["src"], "src", "left").join(ends["dst"], "dst", "left").join(aliases.withColumnRenamed("predicate", "type"), "type", "left")
+    moved = moved.select(F.coalesce("canonical", "type").alias("type"), F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct()
+    return moved.select(C.edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", "src", "dst")
+
+
+def canonical_nodes(nodes: DataFrame, equivalence: DataFrame) -> DataFrame:
+    """Nodes without the members that another node stands for; one whose canonical isn't there stays."""
+    held = equivalence.where("member_id <> canonical_id").join(nodes.select(F.col("id").alias("canonical_id")), "canonical_id", "left_semi")
+    return nodes.join(held.select(F.col("member_id").alias("id")), "id", "left_anti")
+
+
+def canonical_copy(claims: DataFrame, equivalence: DataFrame, aliases: DataFrame, inverse: DataFrame | None = None) -> DataFrame:
+    """Claims on canonical entities and predicates, keyed anew; equal ones are one, with the number that say so and the best confidence.
+
+    ``inverse(predicate, canonical)`` turns a claim on an entity round, so that both directions of a relation are one claim.
+    """
+    claims = _turned(claims, "p", ("s", "o_id"), inverse)
     ends = {c: equivalence.select(F.col("member_id").alias(c), F.col("canonical_id").alias(f"c_{c}")) for c in ("s", "o_id")}
     moved = claims.join(ends["s"], "s", "left").join(ends["o_id"], "o_id", "left").join(aliases.withColumnRenamed("predicate", "p"), "p", "left")
     moved = moved.select(F.coalesce("c_s", "s").alias("s"), F.coalesce("canonical", "p").alias("p"), F.coalesce("c_o_id", "o_id").alias("o_id"), "o_literal", "confidence")

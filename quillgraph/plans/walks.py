@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
@@ -11,7 +11,7 @@ from quillgraph.operators import graph, incremental, ingest
 from quillgraph.plans.registry import query
 from quillgraph.runtime import materialise, spread
 from quillgraph.sources import packs
-from quillgraph.sources.tables import table
+from quillgraph.sources.tables import CLAIMS_SQL, EDGES_SQL, NODES_SQL, claims, edges, nodes, table
 
 
 def _line_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,3 +93,38 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda pattern: F.regexp_extract("url", pattern, 1)
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("t"), at("://([^?#]*)").alias("path"), at("://([^/?#]*)").alias("root"))
     return pages.select("page_id", C.canonical_title(F.lit("Concept"), F.col("t")).alias("canonical"), C.document_title(F.lit(None).cast("string"), F.col("path"), F.col("root")).alias("title"))
+
+
+_CANON_SQL = """eq AS (SELECT 'customer:' || c_custkey AS member, 'customer:' || min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS canonical FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier:' || min(s_suppkey) OVER (PARTITION BY s_nationkey) FROM supplier)"""
+
+
+def _kin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers of one nation and segment are one, as are suppliers of one nation; containing is including, and being placed by or supplied by someone their placing or supplying it."""
+    named = lambda t, key, prefix, group: table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("member_id"), F.concat(F.lit(prefix), F.min(key).over(Window.partitionBy(*group)).cast("string")).alias("canonical_id"))
+    kin = named("customer", "c_custkey", "customer:", ["c_nationkey", "c_mktsegment"]).unionByName(named("supplier", "s_suppkey", "supplier:", ["s_nationkey"]))
+    made = lambda rows: spark.createDataFrame(rows, "predicate string, canonical string")
+    return kin, made([("contains", "includes")]), made([("placed_by", "placed"), ("supplied_by", "supplies")])
+
+
+@query(f"""WITH {EDGES_SQL}, {_CANON_SQL}, t AS (SELECT CASE type WHEN 'placed_by' THEN 'placed' WHEN 'supplied_by' THEN 'supplies' WHEN 'contains' THEN 'includes' ELSE type END AS type,
+  CASE WHEN type IN ('placed_by', 'supplied_by') THEN dst ELSE src END AS src, CASE WHEN type IN ('placed_by', 'supplied_by') THEN src ELSE dst END AS dst FROM edges),
+m AS (SELECT DISTINCT type, coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst FROM t LEFT JOIN eq a ON a.member = src LEFT JOIN eq b ON b.member = dst)
+SELECT sha256('edge' || chr(31) || src || chr(31) || type || chr(31) || dst) AS id, type, src, dst FROM m WHERE src <> dst""")
+def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges between canonical entities, in one direction for each relation."""
+    return graph.canonical_edges(edges(spark, sf_dir), *_kin(spark, sf_dir))
+
+
+@query(f"""WITH {CLAIMS_SQL}, {_CANON_SQL}, t AS (SELECT CASE WHEN p = 'placed_by' THEN 'placed' ELSE p END AS p, CASE WHEN p = 'placed_by' THEN o_id ELSE s END AS s, CASE WHEN p = 'placed_by' THEN s ELSE o_id END AS o_id, o_literal, confidence FROM claims)
+SELECT coalesce(a.canonical, s) AS s, p, coalesce(b.canonical, o_id) AS o_id, o_literal, count(*) AS corroboration, max(confidence) AS confidence
+FROM t LEFT JOIN eq a ON a.member = s LEFT JOIN eq b ON b.member = o_id GROUP BY ALL""")
+def canonical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All claims on canonical entities, those on an entity turned round, with the number that say the same."""
+    return graph.canonical_copy(claims(spark, sf_dir), *_kin(spark, sf_dir)).drop("id")
+
+
+@query(f"WITH {NODES_SQL}, {_CANON_SQL} SELECT id, type FROM nodes WHERE id NOT IN (SELECT member FROM eq WHERE member <> canonical)")
+def canonical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes that no other stands for."""
+    return graph.canonical_nodes(nodes(spark, sf_dir).select("id", "type"), _kin(spark, sf_dir)[0])

@@ -254,3 +254,17 @@ def test_reembedding_keeps_the_rest(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in walks.embedded_documents(spark, SF).where(F.col("doc_id") < 20).collect():
         assert r["embedding"] == pytest.approx(embedding_of(docs[r["doc_id"]]))
+
+
+def test_canonical_copies_turn_relations_round(spark):
+    made = lambda rows, kind: spark.createDataFrame(rows, kind)
+    kin = made([("a2", "a"), ("a", "a")], "member_id string, canonical_id string")
+    alias, inverse = (made(r, "predicate string, canonical string") for r in ([("has", "holds")], [("held_by", "holds"), ("held_by", "holds")]))
+    lines = made([("holds", "a", "x"), ("held_by", "x", "a2"), ("has", "a2", "x"), ("has", "a", "a2"), ("held_by", None, "a"), ("near", "x", "a2")], "type string, src string, dst string")
+    got = sorted((r["type"], r["src"], r["dst"]) for r in graph.canonical_edges(lines, kin, alias, inverse).collect())
+    assert got == [("holds", "a", "x"), ("near", "x", "a")]
+    said = made([("k1", "a", "holds", "x", None, 0.5), ("k2", "x", "held_by", "a2", None, 0.9), ("k3", "x", "held_by", None, "someone", 0.7), ("k4", "a2", "has", "a", None, 0.9)], "id string, s string, p string, o_id string, o_literal string, confidence double")
+    got = sorted(((r["s"], r["p"], r["o_id"], r["o_literal"], r["corroboration"], r["confidence"]) for r in graph.canonical_copy(said, kin, alias, inverse).collect()), key=repr)
+    assert got == [("a", "holds", "x", None, 2, 0.9), ("x", "held_by", None, "someone", 1, 0.7)]
+    assert sorted(r["id"] for r in graph.canonical_nodes(made([("a",), ("a2",), ("x",)], "id string"), kin).collect()) == ["a", "x"]
+    assert graph.canonical_edges(lines.limit(0), kin, alias).count() == 0
