@@ -6,6 +6,7 @@ inputs give empty results, or one row of zeros where a single row of figures is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +139,69 @@ def bootstrap_ci(diffs: DataFrame, value: str, iters: int = 1000, seed: int = 7,
     return means.agg(*(F.round(F.coalesce(F.percentile("mean", F.lit(q)), F.lit(0.0)), 6).alias(name) for name, q in (("low", edge), ("high", 1 - edge))))
 
 
+#: Quantiles of the normal distribution for a two-sided 5 % and a power of 80 %. Fixed values.
+Z_ALPHA, Z_BETA = 1.95996, 0.84162
+
+
+def detectable_share(discordant: int) -> float | None:
+    """The share of discordant pairs that must favour one arm to be told from a half with 80 % power; None if no share can be."""
+    if discordant <= 0:
+        return None
+    # sqrt(n) u = a + z sqrt(1/4 - u^2) for u = share - 1/2, a quadratic
+    a, root = Z_ALPHA / 2, math.sqrt(discordant)
+    u = (a * root + math.sqrt(a * a * discordant - (discordant + Z_BETA**2) * (a * a - Z_BETA**2 / 4))) / (discordant + Z_BETA**2) if discordant > 4 * a * a else 1.0
+    return 0.5 + u if u < 0.5 else None
+
+
+def needed_pairs(delta: float, discordance: float) -> float | None:
+    """Pairs in all that tell a difference of ``delta`` at this share of discordant pairs; None if it can't be that large."""
+    if discordance <= 0 or delta <= 0:
+        return None
+    share = 0.5 + delta / (2 * discordance)
+    return ((Z_ALPHA / 2 + Z_BETA * math.sqrt(share * (1 - share))) / (share - 0.5)) ** 2 / discordance if share < 1 else None
+
+
+def exact_mcnemar(only_a: int, only_b: int) -> float:
+    """Exact two-sided p of discordant counts, summed in logarithms, so that counts of any size take time in proportion to them."""
+    n, k = only_a + only_b, min(only_a, only_b)
+    if n == 0:
+        return 1.0
+    top = math.lgamma(n + 1)
+    logs = [top - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(max(0, k - 100_000), k + 1)]  # terms further from the middle vanish
+    most = max(logs)
+    return min(1.0, 2 * math.exp(most) * math.fsum(math.exp(x - most) for x in logs))
+
+
+def compare_arms(a: DataFrame, b: DataFrame, *, alpha: float = 0.05, material: float = 0.05, iters: int = 1000, seed: int = 7) -> dict[str, object]:
+    """Whether arm ``b`` answers more questions right than ``a`` (both ``query_id, correct``): counts, tests, interval and verdict over the questions that both have.
+
+    The verdict is ``REAL`` if the difference is above 0, significant, as large as the sample can tell, outside of an interval around 0, and ``material``; else ``directional, not proven`` or
+    ``no improvement``, with the conditions that failed. ``escalate`` and ``confirm_n`` say whether a larger sample would settle it, and how large.
+
+    * Null answers are wrong; of rows that repeat a question one right answer counts. No question in common is an error.
+    * Only the four counts and the interval reach the driver.
+    """
+    right = lambda df, c: df.where("query_id IS NOT NULL").groupBy("query_id").agg(F.max(F.coalesce("correct", F.lit(False)).cast("int")).alias(c))
+    both = right(a, "x").join(right(b, "y"), "query_id").select("x", "y", (F.col("y") - F.col("x")).alias("d"))
+    cells = {(r["x"], r["y"]): r["count"] for r in both.groupBy("x", "y").count().collect()}
+    n = sum(cells.values())
+    if not n:
+        raise ValueError("the arms have no question in common")
+    only_a, only_b = cells.get((1, 0), 0), cells.get((0, 1), 0)
+    odd, delta = only_a + only_b, (only_b - only_a) / n
+    share = detectable_share(odd)
+    least = None if share is None else odd / n * (2 * share - 1)
+    p = exact_mcnemar(only_a, only_b)
+    low, high = bootstrap_ci(both, "d", iters, seed).first()
+    conditions = {"directional": delta > 0, "significant": p < alpha, "powered": least is not None and abs(delta) >= least, "ci_excludes_zero": low > 0 or high < 0, "material": abs(delta) >= material}
+    verdict = "REAL" if all(conditions.values()) else "no improvement" if delta <= 0 else "directional, not proven"
+    aim = max(abs(delta), material)
+    return {
+        "n": n, "both": cells.get((1, 1), 0), "only_a": only_a, "only_b": only_b, "neither": cells.get((0, 0), 0), "delta": delta, "exact_p": p, "chi2": (abs(only_b - only_a) - 1) ** 2 / odd if odd else None,
+        "mde": least, "low": low, "high": high, "conditions": conditions, "failed": [c for c, ok in conditions.items() if not ok], "verdict": verdict, "escalate": delta > 0 and not conditions["powered"], "confirm_n": needed_pairs(aim, odd / n),
+    }
+
+
 def median_of_three(a: Column, b: Column, c: Column) -> Column:
     """The middle one of three samples; null if one is."""
     return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), F.array_sort(F.array(a, b, c))[1])

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 
 import pytest
 
@@ -181,3 +182,26 @@ def test_gaps_are_told(spark):
     rows = [("f", 1, 0, 4, 30, False, None, False, "k", 1, "{}"), ("f", 2, 9, 4, 30, True, None, False, "k", 1, "{}")]
     report = framing.framing(spark.createDataFrame(rows, kind)).first()
     assert not report["contiguous"] and report["reason"] == "ranges_with_gaps"
+
+
+def test_arms(spark):
+    made = lambda rows: spark.createDataFrame(rows, "query_id int, correct boolean")
+    right = lambda n, good: [(i, i in good) for i in range(n)]
+    found = evaluation.compare_arms(made(right(300, set(range(100)))), made(right(310, set(range(50, 180)))), iters=100)
+    assert (found["n"], found["both"], found["only_a"], found["only_b"], found["neither"]) == (300, 50, 50, 80, 120)
+    assert found["delta"] == pytest.approx(0.1) and found["chi2"] == pytest.approx(29**2 / 130)
+    assert found["exact_p"] == pytest.approx(min(1, 2 * sum(math.comb(130, i) for i in range(51)) / 2**130))
+    assert found["low"] < 0.1 < found["high"] and found["conditions"]["significant"] and found["conditions"]["material"]
+    # what can be told solves its equation
+    share = evaluation.detectable_share(130)
+    assert math.sqrt(130) * (share - 0.5) == pytest.approx(evaluation.Z_ALPHA / 2 + evaluation.Z_BETA * math.sqrt(share * (1 - share)))
+    assert evaluation.needed_pairs(found["mde"], 130 / 300) == pytest.approx(300)
+    assert found["verdict"] == ("REAL" if found["delta"] >= found["mde"] else "directional, not proven") and found["escalate"] == (found["delta"] < found["mde"])
+    worse = evaluation.compare_arms(made(right(50, set(range(20)))), made(right(50, set(range(10)))), iters=50)
+    assert worse["verdict"] == "no improvement" and not worse["escalate"] and "directional" in worse["failed"]
+    # nulls are wrong, a repeated question counts once, and equal arms have nothing to tell
+    same = evaluation.compare_arms(made([(1, True), (2, None), (1, False), (None, True)]), made([(1, True), (2, False), (3, True)]), iters=10)
+    assert (same["n"], same["both"], same["neither"], same["exact_p"], same["mde"], same["chi2"]) == (2, 1, 1, 1.0, None, None)
+    with pytest.raises(ValueError):
+        evaluation.compare_arms(made([]), made([(1, True)]))
+    assert evaluation.detectable_share(3) is None and evaluation.exact_mcnemar(400_000, 401_000) == pytest.approx(math.erfc(999 / math.sqrt(2 * 801_000)), rel=0.01)
