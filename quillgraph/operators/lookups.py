@@ -63,6 +63,19 @@ def node_detail(nodes: DataFrame, edges: DataFrame, equivalence: DataFrame, type
     return shown.join(counts, "id", "left").select("id", "edge_type", "direction", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("canonical_id", "id").alias("canonical_id"))
 
 
+def node_edges(asked: DataFrame, nodes: DataFrame, edges: DataFrame, equivalence: DataFrame) -> DataFrame:
+    """``id, type, title, canonical_id, direction, edge_type, other, other_title``: all that a node's page shows, a row for each edge; a node without edges has one row.
+
+    ``asked(id)``, ``nodes(id, type, title)``, ``edges(type, src, dst)``, ``equivalence(member_id, canonical_id)``. A loop is an edge in and out. The title of an end that
+    isn't a node is null; unknown and null ids have no row, repeated ones one. Ends are joined by their ids, so a hub's edges are split as any join's.
+    """
+    shown = nodes.join(asked.where("id IS NOT NULL").select("id").distinct(), "id", "left_semi").select("id", "type", "title").join(equivalence.select(F.col("member_id").alias("id"), "canonical_id"), "id", "left")
+    both = [edges.select(F.col(a).alias("id"), F.lit(way).alias("direction"), F.col("type").alias("edge_type"), F.col(b).alias("other")) for a, b, way in (("src", "dst", "out"), ("dst", "src", "in"))]
+    titles = nodes.select(F.col("id").alias("other"), F.col("title").alias("other_title"))
+    rows = shown.join(both[0].unionByName(both[1]), "id", "left").join(titles, "other", "left")
+    return rows.select("id", "type", "title", F.coalesce("canonical_id", "id").alias("canonical_id"), "direction", "edge_type", "other", "other_title")
+
+
 def relationship_lines(subjects: DataFrame, edges: DataFrame, titles: DataFrame, cap: int = RELATIONSHIP_CAP) -> DataFrame:
     """``id, rank, line``: at most ``cap`` relationships of each subject as text, distinguishing ones first, then outgoing ones.
 

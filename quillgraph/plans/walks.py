@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.functions import embedding
-from quillgraph.operators import graph, incremental, ingest
+from quillgraph.operators import graph, incremental, ingest, lookups
 from quillgraph.plans.registry import query
 from quillgraph.runtime import materialise, spread
 from quillgraph.sources import packs
@@ -128,3 +128,13 @@ def canonical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes that no other stands for."""
     return graph.canonical_nodes(nodes(spark, sf_dir).select("id", "type"), _kin(spark, sf_dir)[0])
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, {_CANON_SQL}, a AS (SELECT id, type, title FROM nodes WHERE type = 'Place' OR content IN ('FURNITURE', '1-URGENT')),
+b AS (SELECT src AS id, 'out' AS direction, type AS edge_type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges)
+SELECT a.id, a.type, a.title, coalesce(eq.canonical, a.id) AS canonical_id, direction, edge_type, other, n.title AS other_title FROM a LEFT JOIN eq ON eq.member = a.id LEFT JOIN b ON b.id = a.id LEFT JOIN nodes n ON n.id = b.other""")
+def node_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, furniture makers and urgent orders with all their edges, the titles at the other end and the node that stands for them."""
+    entity = nodes(spark, sf_dir)
+    asked = entity.where("type = 'Place' OR content IN ('FURNITURE', '1-URGENT')").select("id")
+    return lookups.node_edges(asked, entity, edges(spark, sf_dir), _kin(spark, sf_dir)[0])

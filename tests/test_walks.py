@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import embedding
 from quillgraph.functions.udfs import embedding_of
-from quillgraph.operators import graph, incremental
+from quillgraph.operators import graph, incremental, lookups
 from quillgraph.plans import walks
 from quillgraph.sources import packs
 from tests.conftest import SF
@@ -268,3 +268,14 @@ def test_canonical_copies_turn_relations_round(spark):
     assert got == [("a", "holds", "x", None, 2, 0.9), ("x", "held_by", None, "someone", 1, 0.7)]
     assert sorted(r["id"] for r in graph.canonical_nodes(made([("a",), ("a2",), ("x",)], "id string"), kin).collect()) == ["a", "x"]
     assert graph.canonical_edges(lines.limit(0), kin, alias).count() == 0
+
+
+def test_node_pages(spark):
+    made = lambda rows, kind: spark.createDataFrame(rows, kind)
+    nodes = made([("a", "Agent", "A"), ("b", "Place", None), ("c", "Place", "C")], "id string, type string, title string")
+    lines = made([("t", "a", "a"), ("t", "b", "a"), ("u", "a", "gone")], "type string, src string, dst string")
+    kin = made([("a", "z")], "member_id string, canonical_id string")
+    asked = made([("a",), ("a",), ("c",), ("unknown",), (None,)], "id string")
+    got = sorted((tuple(r) for r in lookups.node_edges(asked, nodes, lines, kin).collect()), key=repr)
+    page = ("a", "Agent", "A", "z")
+    assert got == sorted([(*page, "out", "t", "a", "A"), (*page, "in", "t", "a", "A"), (*page, "in", "t", "b", None), (*page, "out", "u", "gone", None), ("c", "Place", "C", "c", None, None, None, None)], key=repr)
