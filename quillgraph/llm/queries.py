@@ -236,13 +236,13 @@ WITH d AS (
   SELECT filter_order, CAST(step AS INT) AS step, bit,
     CAST((SELECT coalesce(sum(b.bit), 0) FROM l b WHERE strpos(filter_order, b.letter) < step) AS INT) AS before FROM o CROSS JOIN range(1, 6) r(step) JOIN l ON l.letter = substr(filter_order, step, 1)
 ), x AS (
-  SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
-    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
-    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
-    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
   FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit
 )
-SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit) AS shapley FROM x""",
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x""",
     "op12_source_divergence": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
