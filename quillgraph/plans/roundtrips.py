@@ -70,7 +70,7 @@ def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("kind", "run_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT lang, source, sum(strlen(coalesce(text, '')) + 1) AS size, count(*) AS lines FROM (SELECT lang, source, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM documents) GROUP BY ALL")
+@query("SELECT lang, source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size, count(*) AS lines FROM (SELECT lang, source, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM documents) GROUP BY ALL")
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files in a folder for each language and source, a line each, found again below the root: size and lines of each folder."""
     root = scratch_path(spark, "folder")
