@@ -1,11 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path, and each page that doesn't declare an article is paired with the
-neighbour whose path has the longest start in common with its own. The text lines of both pages are aligned by
-a longest common subsequence, and lines that both share go: menus, notices and footers repeat between pages
-where the article doesn't. What the markup declares to be something else (navigation, adverts, forms, comments)
-goes in any case. A page that declares an article keeps that and nothing else: sentences of an article may well
-stand in another of the site, and the README has the figures of what differencing would delete there.
+Pages of a host are ordered by URL path, and each page is paired with the neighbour whose path has the longest
+start in common with its own. The text lines of both pages are aligned by a longest common subsequence, and lines
+that both share go: menus, notices and footers repeat between pages where the article doesn't. The markup then
+checks what is left. What it declares to be something else (navigation, adverts, forms, comments) goes too, as does
+all outside a declared article; lines of a declared article that differencing took come back, since sentences of an
+article may well stand in another of the site. The README has the figures of both steps.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -157,21 +158,30 @@ def shared_places(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def declares_article(lines: list[tuple[str, bool, bool]]) -> bool:
-    return any(article and not outside for _, article, outside in lines)
+@dataclass
+class Kept:
+    """What is left of a page's lines. How many went by differencing alone, how many the markup rules out whether they are shared or not,
+    how many differencing took at first, and how many of these the markup gave back."""
 
+    lines: list[str]
+    shared: int
+    by_markup: int
+    differenced: int
+    restored: int
 
-def kept_lines(lines: list[tuple[str, bool, bool]], shared: set[int]) -> tuple[list[str], int, int]:
-    """What is left of a page's lines; how many went because they are shared, and how many by the markup."""
-    declared = declares_article(lines)
-    left = [(i, text) for i, (text, article, outside) in enumerate(lines) if not outside and (article or not declared)]
-    kept = left if declared else [x for x in left if x[0] not in shared]
-    return [text for _, text in kept], len(left) - len(kept), len(lines) - len(left)
+
+def kept_lines(lines: list[tuple[str, bool, bool]], shared: set[int]) -> Kept:
+    """Differencing takes the lines at the places ``shared``; the markup gives back those of a declared article, and takes what isn't the article."""
+    declared = any(article and not outside for _, article, outside in lines)
+    ruled_out = {i for i, (_, article, outside) in enumerate(lines) if outside or (declared and not article)}
+    restored = {i for i in shared if declared and i not in ruled_out}
+    left = [i for i in range(len(lines)) if i not in shared or i in restored]
+    return Kept([lines[i][0] for i in left if i not in ruled_out], len(shared - ruled_out - restored), len(ruled_out), len(shared), len(restored))
 
 
 def main_text(lines: list[tuple[str, bool, bool]], shared: set[int]) -> str:
-    """The page's lines without shared ones and without what the markup rules out."""
-    return " ".join(kept_lines(lines, shared)[0])
+    """The page's lines without shared ones and without what the markup rules out, and with its declared article whole."""
+    return " ".join(kept_lines(lines, shared).lines)
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
@@ -206,44 +216,32 @@ def _neighbours(keys: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 8_000_000) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared, n_by_markup`` for each page: the main text of the whole HTML, and how many lines each part took.
+    """``page_id, url, text, n_chars, n_shared, n_by_markup, n_differenced, n_restored`` for each page: the main text of the whole HTML, and
+    numbers of lines: gone by differencing alone, ruled out by the markup, taken by differencing at first, and given back as a declared article's.
 
     Only hashes of lines are written and paired; a page's text never moves unless the lists of shared lines exceed
-    ``broadcast_bytes`` (measured), where pages and lists are joined by a shuffle instead. Where every page declares
-    an article nothing is paired at all.
+    ``broadcast_bytes`` (measured), where pages and lists are joined by a shuffle instead.
 
     * A null or empty page has an empty text. A null URL, or one without ``://``, belongs to the host without a name.
     * Rows that repeat a page count once as a neighbour; each gives a row, and all the same one.
-    * A page without a neighbour on its host keeps all that its markup doesn't rule out. An empty table gives an
+    * A page without a neighbour on its host shares no line and keeps all that its markup doesn't rule out. An empty table gives an
       empty result; other columns aren't read. Ids are integers or null.
     """
     url, body = F.col(url_col), F.col(html_col)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), url.alias("url"), body.alias("html"), F.xxhash64(id_col, url_col, html_col).alias("k1"), F.xxhash64(F.lit(11), F.col(id_col), url, body).alias("k2"))
 
-    def write(known: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [kept_lines(text_lines(page.as_py()), set(places.as_py() or ())) for page, places in zip(batch.column("html"), batch.column("shared"), strict=True)]
-                texts = [" ".join(lines) for lines, _, _ in found]
-                columns = [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [s for _, s, _ in found], [m for _, _, m in found]))]
-                yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_shared", "n_by_markup"])
-
-        return known.select("page", "url", "html", "shared").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_shared bigint, n_by_markup bigint")
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [host_and_path(x.as_py()) for x in batch.column("url")]
             lines = [text_lines(x.as_py()) for x in batch.column("html")]
             marks = [np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _, _ in x], np.uint64).view(np.int64) for x in lines]
-            columns = [pa.array([x[0] for x in places], pa.string()), pa.array([x[1] for x in places], pa.string()), pa.array(marks, pa.list_(pa.int64())), pa.array([bool(x) and not declares_article(x) for x in lines], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "k1", "k2")), *columns], names=["page", "k1", "k2", "host", "path", "marks", "open"])
+            columns = [pa.array([x[0] for x in places], pa.string()), pa.array([x[1] for x in places], pa.string()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "k1", "k2")), *columns], names=["page", "k1", "k2", "host", "path", "marks"])
 
-    marked = materialise(rows.mapInArrow(mark, "page bigint, k1 bigint, k2 bigint, host string, path string, marks array<bigint>, open boolean"), "page-marks")
-    if marked.where("open").isEmpty():
-        return write(rows.withColumn("shared", F.lit(None).cast("array<int>")))
+    marked = materialise(rows.mapInArrow(mark, "page bigint, k1 bigint, k2 bigint, host string, path string, marks array<bigint>"), "page-marks")
     pairs = materialise(_neighbours(marked.select("page", "host", "path", "k1", "k2")), "page-pairs")
     once = marked.dropDuplicates(["k1", "k2"])
-    both = once.where("open").select("k1", "k2", "marks").join(pairs.where("o1 IS NOT NULL"), ["k1", "k2"]).join(once.select("k1", "k2", "marks").toDF("o1", "o2", "other"), ["o1", "o2"])
+    both = once.select("k1", "k2", "marks").join(pairs.where("o1 IS NOT NULL"), ["k1", "k2"]).join(once.select("k1", "k2", "marks").toDF("o1", "o2", "other"), ["o1", "o2"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,4 +250,13 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     shared = materialise(both.select("k1", "k2", "marks", "other").mapInArrow(align, "k1 bigint, k2 bigint, shared array<int>").where(F.size("shared") > 0), "page-shared")
     size = shared.agg(F.sum(F.size("shared") * 4 + 32)).first()[0] or 0
-    return write(rows.join(F.broadcast(shared) if size <= broadcast_bytes else shared, ["k1", "k2"], "left"))
+    known = rows.join(F.broadcast(shared) if size <= broadcast_bytes else shared, ["k1", "k2"], "left")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [kept_lines(text_lines(page.as_py()), set(places.as_py() or ())) for page, places in zip(batch.column("html"), batch.column("shared"), strict=True)]
+            texts = [" ".join(x.lines) for x in found]
+            columns = [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [x.shared for x in found], [x.by_markup for x in found], [x.differenced for x in found], [x.restored for x in found]))]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_shared", "n_by_markup", "n_differenced", "n_restored"])
+
+    return known.select("page", "url", "html", "shared").mapInArrow(write, "page_id bigint, url string, text string, n_chars bigint, n_shared bigint, n_by_markup bigint, n_differenced bigint, n_restored bigint")

@@ -357,6 +357,14 @@ def test_differencing_on_real_pages(spark):
     assert [(r["text"], r["n_shared"], r["n_by_markup"]) for r in sorted(plain)] == [(f"own {i}", 3, 0) for i in range(9)]
 
 
+def test_differencing_of_declared_articles(spark):
+    """Pages that declare an article are differenced too: shared lines go, but for those of the article, which the markup gives back."""
+    body = "<nav>Menu</nav><div>News</div><article><p>own {0}</p><p>Said before.</p></article><footer>Made {0}</footer>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", body.format(i)) for i in range(4)] + [(9, "http://alone/9", body.format(9))], "page_id bigint, url string, html string")
+    got = {r["page_id"]: tuple(r[2:]) for r in html.extract_main_text(pages).collect()}
+    assert got == {i: (f"own {i} Said before.", 18, 0, 3, 3, 1) for i in range(4)} | {9: ("own 9 Said before.", 18, 0, 3, 0, 0)}
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 7])
 def test_page_differencing(spark, partitions):
     body = "<div>Top menu of the site</div><p>{}</p><div>Imprint and more</div>"
