@@ -123,6 +123,22 @@ def test_language_model_of_nothing(spark):
         lm_scores(spark.createDataFrame([], KIND), order=4)
 
 
+def test_language_model_reads_texts_once(spark):
+    """However many passes and slices there are; and the result doesn't depend on them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(900))) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    want = sorted((r[0], r[1], round(r[2], 6)) for r in lm_scores(docs).collect())
+    got = sorted((r[0], r[1], round(r[2], 6)) for r in lm_scores(docs.mapInArrow(seen, docs.schema), passes=3, slices=3, pass_bytes=10_000).collect())
+    assert got == want and read.value == 60
+
+
 def test_tokens_of_slices():
     texts = [None, "", "one", "two", "Two, thirteenletters", "é É ß", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 18, " ", "a-b_c", "q" * 100_000, "one"]
     batch = pa.RecordBatch.from_arrays([pa.array(["skipped one", *texts], pa.string())], names=["text"]).slice(1)
