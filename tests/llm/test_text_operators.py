@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import html_extract as html
+from quillgraph.llm import lm_scoring
 from quillgraph.llm.decontaminate import BenchmarkIndex, covered, decontaminate
 from quillgraph.llm.common import tokens_of, words_alnum
 from quillgraph.llm.lm_scoring import lm_scores, row_key
@@ -139,6 +140,43 @@ def test_language_model_reads_texts_once(spark):
     assert got == want and read.value == 60
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_shuffles_many_ngrams_a_row(spark, order):
+    """Rows cost the CPU seconds of a shuffle: there are far fewer than n-grams, and none is lost."""
+    rng = random.Random(order)
+    docs = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(50_000)}", f"w{rng.randrange(50)}"]) for _ in range(900)), None) for i in range(150)]
+    frame = spark.createDataFrame(docs, KIND).coalesce(2)
+    before = shuffled_rows(spark)
+    got = sorted((r[0], r[1], round(r[2], 6), round(r[3], 6)) for r in lm_scores(frame, order=order, pass_bytes=200_000).collect())
+    rows = sum(n for stage, n in shuffled_rows(spark).items() if stage not in before)
+    distinct = len({tuple(ws[i : i + n]) for ws in (words(t) for _, t, _ in docs) for n in range(1, order + 1) for i in range(len(ws) - n + 1)})
+    assert distinct > 50_000 and rows < distinct / 50
+    for a, b in zip(got, sorted(brute_lm(docs, order)), strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
+
+
+def test_language_model_orders_hashes_that_agree_in_high_bits():
+    rng = np.random.default_rng(4)
+    for high, low in ((8, 5), (1, 4000), (1 << 40, 1 << 20), (1 << 40, 2), (1, 1)):
+        keys = (rng.integers(0, high, 5000, dtype=np.uint64) << np.uint64(24)) + rng.integers(0, low, 5000, dtype=np.uint64)
+        for part in (keys, keys[:1], keys[:2], keys[:0], np.full(40, keys[0]), np.array([2**64 - 1, 0, 2**64 - 2, 0], np.uint64)):
+            assert lm_scoring._order(part).tolist() == np.argsort(part, kind="stable").tolist()
+
+
+def test_language_model_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " .,"), (None, None)], "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(tuple, lm_scores(docs).collect()), key=repr) == [(1, 0, 0.0, None), (2, 0, 0.0, None), (3, 0, 0.0, None), (None, 0, 0.0, None)]
+
+
 def test_tokens_of_slices():
     texts = [None, "", "one", "two", "Two, thirteenletters", "é É ß", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 18, " ", "a-b_c", "q" * 100_000, "one"]
     batch = pa.RecordBatch.from_arrays([pa.array(["skipped one", *texts], pa.string())], names=["text"]).slice(1)
