@@ -172,6 +172,33 @@ def test_language_model_orders_hashes_that_agree_in_high_bits():
             assert lm_scoring._order(part).tolist() == np.argsort(part, kind="stable").tolist()
 
 
+def test_sums_of_a_large_prefix_need_little_space_and_are_exact():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    chunks, size = 300, 4_000
+    lists = [np.sort(rng.choice(2_000_000, size, replace=False)).astype(np.uint64) << np.uint64(43) for _ in range(chunks)]
+    keys, n = np.concatenate(lists).view(np.int64), rng.integers(1, 9, chunks * size).astype(np.int32)
+    ends = np.arange(chunks + 1) * size
+    rows = pa.table({"prefix": np.zeros(chunks, np.int64), "chunk": np.arange(chunks), "keys": lm_scoring._list(ends, keys), "n": lm_scoring._list(ends, n)})
+    tracemalloc.start()
+    found = lm_scoring._sums(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _, of = np.unique(keys.view(np.uint64), return_inverse=True)
+    want = np.bincount(of, n).astype(np.int64)[of] - n
+    assert lm_scoring._flat(found.column("others")).tolist() == want.tolist()
+    assert peak < 24 * len(keys)
+    # one chunk's n-grams in other documents, the same in many ranges and in one
+    docs = np.sort(rng.integers(0, 50, len(keys)))
+    others = rng.integers(0, 9, of.max() + 1)
+    each = lm_scoring._elsewhere(keys.view(np.uint64), docs, others, 1_000)
+    own = np.unique(of * 50 + docs, return_inverse=True, return_counts=True)
+    assert each.tolist() == (others[of] + np.bincount(of)[of] - own[2][own[1]]).tolist()
+    with pytest.raises(ValueError):
+        lm_scoring._elsewhere(keys.view(np.uint64), docs, others[1:])
+
+
 def test_language_model_of_texts_without_words(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " .,"), (None, None)], "doc_id bigint, text string").coalesce(1)
     assert sorted(map(tuple, lm_scores(docs).collect()), key=repr) == [(1, 0, 0.0, None), (2, 0, 0.0, None), (3, 0, 0.0, None), (None, 0, 0.0, None)]
