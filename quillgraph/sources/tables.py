@@ -48,18 +48,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "lineitem")
     kinds = (
-        (table(spark, sf_dir, "nation"), "in_region", _key("nation", "n_nationkey"), _key("region", "n_regionkey")),
-        (table(spark, sf_dir, "customer"), "in_nation", _key("customer", "c_custkey"), _key("nation", "c_nationkey")),
-        (table(spark, sf_dir, "supplier"), "in_nation", _key("supplier", "s_suppkey"), _key("nation", "s_nationkey")),
-        (table(spark, sf_dir, "orders"), "placed_by", _key("orders", "o_orderkey"), _key("customer", "o_custkey")),
-        (lines, "contains", _key("orders", "l_orderkey"), _key("part", "l_partkey")),
-        (lines, "supplied_by", _key("part", "l_partkey"), _key("supplier", "l_suppkey")),
+        (table(spark, sf_dir, "nation"), "in_region", ("nation", "n_nationkey"), ("region", "n_regionkey")),
+        (table(spark, sf_dir, "customer"), "in_nation", ("customer", "c_custkey"), ("nation", "c_nationkey")),
+        (table(spark, sf_dir, "supplier"), "in_nation", ("supplier", "s_suppkey"), ("nation", "s_nationkey")),
+        (table(spark, sf_dir, "orders"), "placed_by", ("orders", "o_orderkey"), ("customer", "o_custkey")),
+        (lines, "contains", ("orders", "l_orderkey"), ("part", "l_partkey")),
+        (lines, "supplied_by", ("part", "l_partkey"), ("supplier", "l_suppkey")),
     )
     out = None
     for df, kind, src, dst in kinds:
-        part = df.select(F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"))
+        # no two kinds share an edge, so numbers are made distinct and not names
+        part = df.select(src[1], dst[1]).distinct().select(F.lit(kind).alias("type"), _key(*src).alias("src"), _key(*dst).alias("dst"))
         out = part if out is None else out.unionByName(part)
-    return out.distinct().select(edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", "src", "dst")
+    return out.select(edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", "src", "dst")
 
 
 EDGES_SQL = """
