@@ -57,15 +57,30 @@ def duplicate_ids(rows: DataFrame, code: str) -> DataFrame:
 
 
 def adjacency_issues(edges: DataFrame, observed: DataFrame) -> DataFrame:
-    """Stored edges against physical ones (``id, src, dst``): different ends, and those that only one side has."""
-    a, b = edges.select("id", F.col("src").alias("s1"), F.col("dst").alias("d1")), observed.select("id", F.col("src").alias("s2"), F.col("dst").alias("d2"))
-    both = a.join(b, "id", "full_outer")
-    lost = _issue(both.where("s2 IS NULL"), "missing_adjacency_observation", F.col("id"), F.lit(None).cast("string"), F.lit("physical relationship"), F.lit("missing"))
-    extra = _issue(both.where("s1 IS NULL"), "unlisted_physical_edge", F.col("id"), F.lit(None).cast("string"), F.lit("edge property scan record"), F.lit("physical relationship only"))
-    out = lost.unionByName(extra)
-    for side, x, y in (("src", "s1", "s2"), ("dst", "d1", "d2")):
-        out = out.unionByName(_issue(both.where(F.col(x) != F.col(y)), "adjacency_property_mismatch", F.col("id"), F.lit(side), F.col(y), F.col(x)))
-    return out
+    """Stored edges against physical ones (``id, src, dst``): different ends, and those that only one side has.
+
+    Edges are dealt to ranges by their id, and a range whose edges have the same digests (two of 64 bits) and number on both sides has no issue,
+    unless an id is repeated or something is null in it. So only edges of the other ranges meet by id.
+    """
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_RANGES)).cast("int")
+    a, b = (df.select("id", "src", "dst", bucket.alias("bucket")) for df in (edges, observed))
+    null = F.col("id").isNull() | F.col("src").isNull() | F.col("dst").isNull()
+    tally = lambda df, sign: df.select("bucket", F.xxhash64("id", "src", "dst").alias("x"), F.xxhash64(F.lit(7919), "dst", "src", "id").alias("y"), F.lit(sign).alias("sign"), null.alias("unsure"))
+    sums = tally(a, 1).unionByName(tally(b, -1)).groupBy("bucket")
+    sums = sums.agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sum(F.col("sign") * F.shiftright("x", 32)).alias("sum"), F.sum("sign").alias("n"), F.max("unsure").alias("unsure"))
+    # where both sides are the same, one has the repeated ids of both
+    twice = a.where("id IS NOT NULL").groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.pmod("h", F.lit(ID_RANGES)).cast("int").alias("bucket"))
+    open_ = materialise(sums.where("x <> 0 OR y <> 0 OR sum <> 0 OR n <> 0 OR unsure").select("bucket").unionByName(twice).distinct(), "open-ranges")
+    a, b = (df.join(F.broadcast(open_), "bucket", "left_semi") for df in (a, b))  # at most ID_RANGES numbers
+    both = a.select("id", F.col("src").alias("s1"), F.col("dst").alias("d1")).join(b.select("id", F.col("src").alias("s2"), F.col("dst").alias("d2")), "id", "full_outer")
+    found = lambda where, code, reference, expected, observed: F.when(where, F.struct(F.lit(code).alias("code"), reference.cast("string").alias("reference"), expected.alias("expected"), observed.alias("observed")))
+    issues = [
+        found(F.col("s2").isNull(), "missing_adjacency_observation", F.lit(None), F.lit("physical relationship"), F.lit("missing")),
+        found(F.col("s1").isNull(), "unlisted_physical_edge", F.lit(None), F.lit("edge property scan record"), F.lit("physical relationship only")),
+        *(found(F.col(x) != F.col(y), "adjacency_property_mismatch", F.lit(side), F.col(y), F.col(x)) for side, x, y in (("src", "s1", "s2"), ("dst", "d1", "d2"))),
+    ]
+    rows = both.select("id", F.explode(F.array_compact(F.array(*issues))).alias("i"))
+    return rows.select("i.code", F.col("id").alias("artifact_id"), "i.reference", "i.expected", "i.observed")
 
 
 def manifest_issues(manifest: DataFrame, observed: DataFrame) -> DataFrame:

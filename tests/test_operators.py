@@ -6,9 +6,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillgraph.functions import columns as C
 from quillgraph.functions import udfs
 from quillgraph.operators import detect, graph, ingest, integrity, ledger, predicates, quality, resolve, retrieve
 from quillgraph.operators.components import connected_components
+from quillgraph.runtime import materialise
+from quillgraph.sources.tables import edges as edges_of
+from tests.conftest import SF
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,6 +61,58 @@ def test_headings_query_is_its_sql_on_odd_lines(spark, tmp_path):
     assert sorted(got) == sorted(want) and (0, 2, "b.###") in got
 
 
+def test_adjacency_issues_are_those_of_a_join(spark):
+    rng = random.Random(5)
+    one = [(f"e{i}", f"a{i % 7}", f"b{i % 5}") for i in range(300)] + [("e1", "x", "b1"), ("twin", "a", "b"), ("twin", "a", "c"), (None, "a", "b"), ("half", None, "b"), ("same", "a", "b"), ("same", "a", "b")]
+    other = [r if rng.random() < 0.9 else (r[0], "moved", r[2]) for r in one if rng.random() < 0.95] + [("new", "a", "b"), ("twin", "a", "c")]
+    for a, b in ((one, other), (other, one), (one, one), ([], one)):
+        left, right = (spark.createDataFrame(rows, "id string, src string, dst string") for rows in (a, b))
+        joined = left.toDF("id", "s1", "d1").join(right.toDF("id", "s2", "d2"), "id", "full_outer").collect()
+        want = [("missing_adjacency_observation", r["id"], None) for r in joined if r["s2"] is None] + [("unlisted_physical_edge", r["id"], None) for r in joined if r["s1"] is None]
+        for side, x, y in (("src", "s1", "s2"), ("dst", "d1", "d2")):
+            want += [("adjacency_property_mismatch", r["id"], side) for r in joined if None not in (r[x], r[y]) and r[x] != r[y]]
+        got = [(r["code"], r["artifact_id"], r["reference"]) for r in integrity.adjacency_issues(left, right).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def _shuffled(spark, run):
+    """What ``run`` gives, and the bytes of its shuffles."""
+    store = spark.sparkContext._jsc.sc()
+
+    def total():
+        store.listenerBus().waitUntilEmpty(30_000)
+        return store.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = total()
+    return run(), total() - before
+
+
+def test_sound_edges_do_not_meet_by_their_ids(spark, monkeypatch):
+    """Ids of 64 digits are shuffled only where something is wrong, and no audit or view writes the edges."""
+    monkeypatch.setattr(integrity, "ID_RANGES", 64)
+    edges = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("t").alias("type"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst"))
+    edges = edges.select(C.edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", "src", "dst")
+    nodes = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("id"))
+    wrong = edges.withColumn("id", F.when(F.col("src") == "n7", F.sha2("id", 256)).otherwise(F.col("id"))).unionByName(edges.where("src = 'n7'"))
+    lost, n = _shuffled(spark, lambda: integrity.missing_endpoints(edges, nodes).collect())
+    assert [(r["reference"], r["expected"]) for r in lost] == [("dst", "n30000")] and n < 2_000_000
+    codes, n = _shuffled(spark, lambda: {r["code"]: r["n"] for r in integrity.audit(integrity.wrong_edge_ids(wrong)).collect()})
+    assert codes == {"content_addressed_id_mismatch": 1, "conflicting_deterministic_identity": 2} and n < 100_000
+    codes, n = _shuffled(spark, lambda: {r["code"]: r["n"] for r in integrity.audit(integrity.adjacency_issues(edges, wrong.where("src <> 'n9'"))).collect()})
+    assert codes == {"missing_adjacency_observation": 1, "unlisted_physical_edge": 1} and n < 2_000_000
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, label: written.append(df.columns) or materialise(df, label))
+    kept, inner = graph.top_subgraph(nodes, edges.unionByName(edges.where("src IN ('n5', 'n29999')")), 3)
+    assert [tuple(r) for r in kept.collect()] == [("n5", 3), ("n6", 3), ("n1", 2)] and inner.count() == 2
+    assert written and not any("src" in columns for columns in written)
+
+
+def test_edges_are_made_distinct_as_numbers(spark):
+    found, n = _shuffled(spark, lambda: edges_of(spark, SF).count())
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert found > rows and n < 24 * found
+
+
 def test_diversify_against_loop(spark):
     rows = []
     for i in range(60):
