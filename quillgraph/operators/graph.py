@@ -21,14 +21,21 @@ def census(nodes: DataFrame) -> DataFrame:
 
 
 def top_subgraph(nodes: DataFrame, edges: DataFrame, limit: int, min_degree: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The ``limit`` nodes of the highest degree among edges with both ends visible, and the edges between them."""
-    visible = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    visible = materialise(visible, "visible-edges")
-    ranked = nodes.select("id").join(degrees(visible), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") >= min_degree)
-    kept = ranked.orderBy(F.col("degree").desc(), "id").limit(limit)
+    """The ``limit`` nodes of the highest degree among edges with both ends visible, and the edges between them.
+
+    Edges are counted and never written: all of them, and again without those of hidden ends if there are any.
+    """
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    counted = materialise(degrees(edges), "end-degrees")
+    hidden = materialise(counted.select("id").join(nodes.select("id"), "id", "left_anti"), "hidden-ends")
+    if not hidden.isEmpty():
+        counted = degrees(edges.join(hidden.withColumnRenamed("id", "src"), "src", "left_anti").join(hidden.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    ranked = nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") >= min_degree)
+    order = [F.col("degree").desc(), F.col("id")]
+    kept = materialise(ranked.orderBy(*order).limit(limit), "top-nodes")
     ids = F.broadcast(kept.select("id"))  # at most ``limit`` rows
-    inner = visible.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return kept, inner
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return kept.orderBy(*order), inner
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
