@@ -1,7 +1,8 @@
 """Tallies of a graph kept up to date by a stream of changes: census, degrees, vocabulary and argument pairs as signed counts.
 
 A change is a row that is added (``sign`` 1) or taken away (-1); an update is both. A batch is summed by key before it is
-written, so what a batch costs depends on what it touches and not on the graph. Batches are idempotent by their id, as
+written, so what a batch costs depends on what it touches and not on the graph; argument pairs, which hardly repeat, are
+written as they come and summed when they are read or merged. Batches are idempotent by their id, as
 ``foreachBatch`` may run one again.
 """
 
@@ -48,7 +49,7 @@ class Projection:
             "vocabulary": named.select("predicate", "sign"),
             "arguments": named.where("s <> '' AND o <> ''"),
         }
-        done = self.tables.apply(batch, {name: df.groupBy(*_KEYS[name]).agg(F.sum("sign").alias("sign")).where("sign <> 0") for name, df in rows.items()})
+        done = self.tables.apply(batch, {name: df if name == "arguments" else df.groupBy(*_KEYS[name]).agg(F.sum("sign").alias("sign")).where("sign <> 0") for name, df in rows.items()})
         if len(self.tables.state()["live"]["census"]) >= self.merge_every:
             self.merge()
         return done

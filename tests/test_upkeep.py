@@ -220,3 +220,22 @@ def test_batch_leaders_is_the_loop(spark):
     got = {r["id"]: r["survivor"] for r in upkeep.batch_leaders(spark, SF).collect()}
     assert got == loop(pairs, [(r[0], r[0]) for r in rows], ends)
     assert any(k != v for k, v in got.items())
+
+
+def test_projected_stream_keeps_no_copy_of_its_changes(spark):
+    """The batches' files are gone when the stream has ended, and its argument pairs are those of what is left."""
+    from collections import Counter
+    from pathlib import Path
+
+    from quillgraph.runtime import shared_dir
+    from quillgraph.sources.tables import claims, edges, table
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.rglob("*.parquet"))
+    kept = upkeep._projected(spark, SF)
+    new = {str(p.relative_to(shared)) for p in set(shared.rglob("*.parquet")) - before}
+    assert new and all("/tallies/" in name for name in new)
+    done = {f"orders:{r[0]}" for r in table(spark, SF, "orders").where("o_orderstatus = 'F'").select("o_orderkey").collect()}
+    want = Counter((r["type"], r["src"], r["dst"]) for r in edges(spark, SF).collect() if r["src"] not in done)
+    want += Counter((r["p"], r["s"], r["o_id"] or r["o_literal"]) for r in claims(spark, SF).collect())
+    assert {(r["predicate"], r["s"], r["o"]): r["n"] for r in kept.arguments().collect()} == want
