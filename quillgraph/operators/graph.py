@@ -133,10 +133,10 @@ def claim_ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap:
     out = near.withColumn("hop", F.lit(1)).select(*columns)
     # a seed's subject is opened under the seed's own question
     frontier = known = near.where("rank = 0").select("seed", F.col("s").alias("entity"))
+    # seeds that ask for the same terms ask one question
+    asked = materialise(terms.groupBy("seed").agg(F.array_sort(F.collect_set("term")).alias("question")), "claim-questions")
     for hop in range(1, hops + 1):
-        words = frontier.join(terms, "seed").select(F.concat_ws("\x1f", "seed", "entity").alias("key"), "term").distinct()
-        ends = frontier.withColumn("key", F.concat_ws("\x1f", "seed", "entity"))
-        found = _entity_claims(claims, ends, words, cap if hop == 1 else max(cap // 2, 4), allowed)
+        found = _entity_claims(claims, frontier, asked, cap if hop == 1 else max(cap // 2, 4), allowed)
         rows = materialise(found.withColumn("hop", F.lit(hop)).select(*columns), f"claim-ego-{hop}")
         out = out.unionByName(rows)
         if hop < hops:
@@ -149,22 +149,31 @@ def claim_ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap:
     return out.withColumn("__n", F.row_number().over(fact)).where("__n = 1").drop("__n")
 
 
-def _entity_claims(claims: DataFrame, ends: DataFrame, words: DataFrame, cap: int, allowed: Iterable[str] | None) -> DataFrame:
-    """``bridge_claims`` of entities that are asked for under several questions: ``ends(seed, entity, key)``, ``words(key, term)``."""
-    entities = ends.select("entity").distinct()
-    about = claims.select("*", F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("entity")).join(entities, "entity", "left_semi").join(ends, "entity")
-    own = about.select(F.col("key").alias("s0"), *(F.col(c) for c in claims.columns), "seed")
-    # each question's copy of an entity is an entity of its own
-    rows = own.where(gates.passes(own) & gates.predicate_allowed(F.col("p"), allowed)).withColumn("confidence", F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)))
-    rows = rows.dropDuplicates(["s0", "id"])
-    text = F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit("")))
-    covered = rows.select("s0", "id", F.explode(F.array_distinct(C.word_tokens(text))).alias("term")).join(words.withColumnRenamed("key", "s0"), ["s0", "term"])
-    size = rows.groupBy("s0").agg(F.count("*").alias("n"))
-    covered = covered.join(covered.groupBy("s0", "term").agg(F.count("*").alias("df")).join(size, "s0"), ["s0", "term"])
-    scores = covered.groupBy("s0", "id").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
-    scored = rows.join(scores, ["s0", "id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    place = F.row_number().over(Window.partitionBy("s0").orderBy(F.col("coverage").desc(), F.col("confidence").desc(), "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= cap)
+def _entity_claims(claims: DataFrame, ends: DataFrame, asked: DataFrame, cap: int, allowed: Iterable[str] | None) -> DataFrame:
+    """The ``cap`` best claims of each entity under each question, for every seed that opens it: ``ends(seed, entity)``, ``asked(seed, question)`` with sorted terms.
+
+    An entity's claims are ranked once for each question and not for each seed. Those that hold the same words cover the
+    same, so they are counted together, and only the ``cap`` best of them meet the questions.
+    """
+    ends = materialise(ends.join(asked, "seed", "left").select("seed", "entity", F.coalesce("question", F.array().cast("array<string>")).alias("question")), "claim-ends")
+    opened = materialise(ends.select("entity", "question").distinct(), "claim-opened")
+    fine = claims.where(gates.passes(claims) & gates.predicate_allowed(F.col("p"), allowed)).withColumn("confidence", F.coalesce("confidence", F.lit(V.CLAIM_CONFIDENCE)))
+    words = F.array_sort(F.array_distinct(C.word_tokens(F.concat_ws(" ", C.verbalized(F.col("p")), F.coalesce("o_literal", F.lit(""))))))
+    shown = ["id", "s", "p", "o_id", "o_literal", "confidence"]
+    about = fine.select(*shown, words.alias("words"), F.explode(F.array_distinct(F.array_compact(F.array("s", "o_id")))).alias("entity"))
+    about = materialise(about.join(opened.select("entity").distinct(), "entity", "left_semi").dropDuplicates(["entity", "id"]), "claims-about", compression="zstd")
+    held = materialise(about.groupBy("entity", "words").agg(F.count("*").alias("m")), "claim-words")
+    place = F.row_number().over(Window.partitionBy("entity", "words").orderBy(F.col("confidence").desc(), "id"))
+    best = about.withColumn("n", place).where(F.col("n") <= cap).drop("n")
+    # inverse frequency among an entity's claims
+    of_term = held.select("entity", "words", "m", F.explode("words").alias("term")).join(opened.select("entity", F.explode("question").alias("term")).distinct(), ["entity", "term"])
+    size, df = held.groupBy("entity").agg(F.sum("m").alias("n")), of_term.groupBy("entity", "term").agg(F.sum("m").alias("df"))
+    covered = of_term.select("entity", "words", "term").join(opened.select("entity", "question", F.explode("question").alias("term")), ["entity", "term"]).join(df, ["entity", "term"]).join(size, "entity")
+    scores = covered.groupBy("entity", "question", "words").agg(F.round(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9).alias("coverage"))
+    scored = opened.join(best, "entity").join(scores, ["entity", "question", "words"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("entity", "question").orderBy(F.col("coverage").desc(), F.col("confidence").desc(), "id"))
+    top = scored.select("entity", "question", *shown, "coverage", place.alias("rank")).where(F.col("rank") <= cap)
+    return ends.join(top, ["entity", "question"])
 
 
 def ego_graph(claims: DataFrame, seeds: DataFrame, terms: DataFrame, cap: int, hops: int = 1, allowed: Iterable[str] | None = None) -> DataFrame:

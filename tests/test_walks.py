@@ -279,3 +279,19 @@ def test_node_pages(spark):
     got = sorted((tuple(r) for r in lookups.node_edges(asked, nodes, lines, kin).collect()), key=repr)
     page = ("a", "Agent", "A", "z")
     assert got == sorted([(*page, "out", "t", "a", "A"), (*page, "in", "t", "a", "A"), (*page, "in", "t", "b", None), (*page, "out", "u", "gone", None), ("c", "Place", "C", "c", None, None, None, None)], key=repr)
+
+
+def test_claims_of_a_hub_are_ranked_once_for_a_question(spark):
+    """Many seeds of one subject that ask the same shuffle its claims once, not once each."""
+    claims = spark.range(600).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("hub").alias("s"), F.lit("is").alias("p"), F.concat(F.lit("o"), "id").alias("o_id"), F.lit(None).cast("string").alias("o_literal"), (F.col("id") / 1000).alias("confidence"), F.concat(F.lit("b"), "id").alias("block_id"))
+    seeds = claims.select(F.col("id").alias("seed"))
+    store = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        store.listenerBus().waitUntilEmpty(30_000)
+        return store.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = shuffled()
+    got = graph.claim_ego_graph(claims, seeds, seeds.withColumn("term", F.lit("is")), cap=2).where("seed = 'c5'").collect()
+    assert sorted(r["id"] for r in got) == ["c5", "c598", "c599"]
+    assert shuffled() - before < 2_000_000
