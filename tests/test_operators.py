@@ -89,7 +89,7 @@ def _shuffled(spark, run):
 
 def test_sound_edges_do_not_meet_by_their_ids(spark, monkeypatch):
     """Ids of 64 digits are shuffled only where something is wrong, and no audit or view writes the edges."""
-    monkeypatch.setattr(integrity, "ID_RANGES", 64)
+    monkeypatch.setattr(integrity, "ID_RANGES", 64, raising=False)
     edges = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("t").alias("type"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst"))
     edges = edges.select(C.edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", "src", "dst")
     nodes = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("id"))
@@ -110,7 +110,7 @@ def test_sound_edges_do_not_meet_by_their_ids(spark, monkeypatch):
 def test_edges_are_made_distinct_as_numbers(spark):
     found, n = _shuffled(spark, lambda: edges_of(spark, SF).count())
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert found > rows and n < 24 * found
+    assert found > rows and n < 12 * found
 
 
 def test_diversify_against_loop(spark):
